@@ -59,13 +59,13 @@ def corpus_extract(spark, sf):
     f"""SELECT doc_id, length({i.strip_sql('text')}) AS question_length FROM documents
 WHERE length({i.strip_sql('text')}) > 5 AND length({i.strip_sql('text')}) < 1000
   AND NOT starts_with({i.strip_sql('text')}, 'http')
-  AND length({i.strip_sql("source || ' ' || n_chars")}) > 10"""
+  AND length({i.strip_sql("source || ' ' || lang || ' ' || n_chars")}) > 10"""
 )
 def corpus_quality_filter(spark, sf):
     pairs = i.table(spark, sf, "documents").select(
         "doc_id",
         tx.strip(F.col("text")).alias("question"),
-        tx.strip(F.concat_ws(" ", "source", F.col("n_chars").cast("string"))).alias("answer"),
+        tx.strip(F.concat_ws(" ", "source", "lang", F.col("n_chars").cast("string"))).alias("answer"),
     )
     return co.quality_filter(pairs).select(
         "doc_id", F.length("question").cast("long").alias("question_length")
