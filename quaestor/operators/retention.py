@@ -12,7 +12,8 @@ from quaestor.session import cut
 
 DAY_SECONDS = 24 * 3600
 KEEP_SHARE = 0.8  # fixed value: retention shrinks to this share of the limit
-HOT_KEY_TIMES = 200_000  # distinct access times one task walks through
+HOT_KEY_TIMES = 1_000_000  # distinct access times one group may hold
+BROADCAST_KEYS = 100_000
 
 
 def expired(entries: DataFrame, now: Column, ttl_seconds: int = DAY_SECONDS) -> DataFrame:
@@ -68,7 +69,7 @@ def label_accesses(
 ) -> DataFrame:
     """Add `hit` (boolean) to every access; equal times are ordered by `tie`."""
     stamped = accesses.withColumn("_t", _micros(F.col(ts)))
-    times = stamped.groupBy(key, "_t").agg(F.min(tie).alias("_first"))
+    times = cut(stamped.groupBy(key, "_t").agg(F.min(tie).alias("_first")))
     created = miss_times(times.select(key, "_t"), ttl_seconds, key, hot_key_times)
     # the row that creates: the first of its (key, time); both joins are on nearly unique keys
     creators = times.join(created, [key, "_t"], "left_semi").select(
@@ -86,30 +87,33 @@ def miss_times(
 ) -> DataFrame:
     """Creation times (key, _t) out of distinct access times (key, _t in microseconds)."""
     ttl = ttl_seconds * 1_000_000
-    per_key = times.groupBy(key).agg(F.count("*").alias("_n"))
-    hot = per_key.where(F.col("_n") > hot_key_times).select(
-        key, F.ceil(F.col("_n") / hot_key_times).cast("long").alias("_slots")
-    )
-    # at most (all times / hot_key_times) rows
-    hot = F.broadcast(hot)
-    schema = times.select(key, "_t").schema
-    plain = (
-        times.join(hot, key, "left_anti")
-        .groupBy(key)
-        .applyInPandas(lambda pdf: _walk_key(pdf, ttl), schema)
+    hot = (
+        times.groupBy(key)
+        .agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > hot_key_times)
+        .select(key, F.ceil(F.col("_n") / hot_key_times).cast("long").alias("_slots"))
+        .persist()
     )
+    n_hot = hot.count()
+    if n_hot == 0:
+        return _walk_keys(times, ttl, key)
+    if n_hot <= BROADCAST_KEYS:
+        hot = F.broadcast(hot)
+    plain = _walk_keys(times.join(hot, key, "left_anti"), ttl, key)
     return plain.unionByName(_hot_miss_times(times.join(hot, key), ttl, key))
 
 
-def _walk_key(pdf: pd.DataFrame, ttl: int) -> pd.DataFrame:
-    t = np.sort(pdf["_t"].to_numpy())
-    picked, at = [], 0
-    while at < len(t):
-        picked.append(t[at])
-        at = int(np.searchsorted(t, t[at] + ttl, side="right"))
-    out = pdf.iloc[: len(picked)].copy()
-    out["_t"] = np.array(picked, dtype=np.int64)
-    return out
+def _walk_keys(times: DataFrame, ttl: int, key: str) -> DataFrame:
+    """Walk each key's times in order; at most `hot_key_times` numbers meet in a row."""
+
+    def step(found, t):
+        due = F.coalesce(F.element_at(found, -1) + F.lit(ttl) < t, F.lit(True))
+        return F.when(F.size(found) == 0, F.array(t)).when(due, F.concat(found, F.array(t))).otherwise(found)
+
+    walked = times.groupBy(key).agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
+    return walked.select(
+        key, F.explode(F.aggregate("_ts", F.array().cast("array<bigint>"), step)).alias("_t")
+    )
 
 
 def _hot_miss_times(times: DataFrame, ttl: int, key: str) -> DataFrame:
@@ -123,9 +127,7 @@ def _hot_miss_times(times: DataFrame, ttl: int, key: str) -> DataFrame:
         "_slots",
     )
     # part number grows with time, so parts of one key are ordered by it
-    slotted = cut(
-        slotted.withColumn("_part", F.col("_period") * F.col("_slots") + F.col("_slot"))
-    )
+    slotted = slotted.withColumn("_part", F.col("_period") * F.col("_slots") + F.col("_slot"))
     key_type = times.schema[key].dataType.simpleString()
 
     hops = slotted.groupBy(key, "_slot").applyInPandas(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quaestor.functions import text as tx
 from quaestor.functions.strings import LetterBags, close_ratio
 from quaestor.operators.blocks import best_per, block_join
+from quaestor.session import cut
 
 # Fixed values.
 DOMAIN_MIN_COUNT = 3
@@ -255,6 +256,7 @@ def correct_unknown(
     checker: DataFrame | None = None,
 ) -> DataFrame:
     """Outcome for unknown words: (word, corrected, confidence, method)."""
+    unknown = cut(unknown)  # distinct words; read four times below
     ruled = repaired_words(unknown, dictionary).select(
         "word", F.col("corrected").alias("_ruled")
     )

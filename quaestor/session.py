@@ -51,3 +51,12 @@ def cut(df):
     """Reliable checkpoint: survives lost executors, cuts the lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df):
+    """Give a table that arrives in fewer partitions than there are cores to all of them.
+
+    Large tables arrive in many splits and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

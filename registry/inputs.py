@@ -9,13 +9,16 @@ from quaestor.functions import text as tx
 from quaestor.operators.corpus import assign_ids, clean_questions, history_pairs
 from quaestor.operators.embed import HashingEncoder, embed
 from quaestor.operators.spelling import learn_vocabulary
+from quaestor.session import spread
 
 ENCODER = HashingEncoder(64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # each table is one file with one row group here; long texts need all cores
+    return spread(df) if name == "documents" else df
 
 
 def source_pairs(spark, sf_dir) -> DataFrame:
