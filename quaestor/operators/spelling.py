@@ -6,13 +6,15 @@ words and once to put corrections back.
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.functions import text as tx
-from quaestor.functions.strings import LetterBags, close_ratio
+from quaestor.functions.strings import LetterBags, LetterCodes, char_masks, lcs_length
 from quaestor.operators.blocks import best_per, block_join
 from quaestor.session import cut
 
@@ -107,16 +109,11 @@ def repaired_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     tried = words.select("word", F.inline(tries)).where(
         (F.col("corrected") != F.col("word")) & (F.length("corrected") > 1)
     )
-    check = tx.strip(F.lower("corrected"))
-    free = tried.where(~_needs_dictionary(check))
-    listed = (
-        tried.where(_needs_dictionary(check))
-        .withColumn("_check", check)
-        .join(dictionary.select(F.col("word").alias("_check")).distinct(), "_check", "left_semi")
-        .drop("_check")
-    )
+    checked = tried.withColumn("_check", tx.strip(F.lower("corrected")))
+    accepted = dictionary.select(F.col("word").alias("_check")).distinct()
     return (
-        free.unionByName(listed)
+        checked.join(accepted.withColumn("_listed", F.lit(True)), "_check", "left")
+        .where(F.col("_listed") | ~_needs_dictionary(F.col("_check")))
         .groupBy("word")
         .agg(F.min(F.struct("rule", "corrected")).alias("_best"))
         .select("word", F.col("_best.corrected").alias("corrected"), F.col("_best.rule").alias("rule"))
@@ -135,8 +132,9 @@ def close_matches(
     """Best n vocabulary words per word by sequence ratio: (word, suggestion, ratio).
 
     Exact over the whole vocabulary. Blocks of words meet in one task each; inside a block
-    the common letter bag bounds the ratio from above, candidates are tried from the highest
-    bound down, and a word stops once its n-th ratio beats the next bound.
+    first the common letter bag, then the common subsequence bound the ratio from above;
+    candidates are tried from the highest bound down, and a word stops once its n-th ratio
+    beats the next bound.
     """
     pairs = block_join(
         words.select("word"),
@@ -159,6 +157,7 @@ def _close_blocks(n: int, cutoff: float):
             return _pairs([])
         words = sorted(lhs["word"], key=len)
         vocab = sorted(rhs["suggestion"], key=len)
+        codes = LetterCodes(vocab)
         bags = LetterBags(vocab)
         table = bags.rows(vocab).T.copy()
         sizes = np.array([len(v) for v in vocab], dtype=np.float32)
@@ -182,28 +181,38 @@ def _close_blocks(n: int, cutoff: float):
             rows, cols = np.nonzero(bound >= cutoff - 1e-5)
             if not len(rows):
                 continue
+            if size < 64:
+                longest = int(sizes[high - 1])
+                common = codes.common(group, rows, low + cols, longest)
+            else:
+                masks = [char_masks(word) for word in group]
+                common = np.array(
+                    [lcs_length(masks[r], size, vocab[low + c]) for r, c in zip(rows, cols)]
+                )
+            tight = 2.0 * common / (size + sizes[low + cols].astype(np.float64))
+            keep = tight >= cutoff
+            rows, cols, tight = rows[keep], cols[keep], tight[keep]
             starts = np.searchsorted(rows, np.arange(len(group) + 1))
             for i, word in enumerate(group):
-                mine = cols[starts[i] : starts[i + 1]]
-                if len(mine):
-                    best = bound[i, mine]
-                    order = np.argsort(-best, kind="stable")
-                    out.extend(
-                        _best_close(
-                            word, [vocab[low + c] for c in mine[order]], best[order], n, cutoff
-                        )
-                    )
+                mine = slice(starts[i], starts[i + 1])
+                tries = sorted(
+                    zip(tight[mine].tolist(), (vocab[low + c] for c in cols[mine])), reverse=True
+                )
+                out.extend(_best_close(word, tries, n, cutoff))
         return _pairs(out)
 
     return run
 
 
-def _best_close(word, candidates, bounds, n, cutoff):
+def _best_close(word, tries, n, cutoff):
+    """`tries` are (bound, candidate), highest bound first."""
+    matcher = SequenceMatcher(None, "", word)
     best: list[tuple[float, str]] = []
-    for candidate, bound in zip(candidates, bounds):
-        if len(best) == n and bound + 1e-5 < best[-1][0]:
+    for bound, candidate in tries:
+        if len(best) == n and bound < best[-1][0]:
             break
-        ratio = close_ratio(candidate, word)
+        matcher.set_seq1(candidate)
+        ratio = matcher.ratio()
         if ratio >= cutoff:
             best.append((ratio, candidate))
             best.sort(reverse=True)

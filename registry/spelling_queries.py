@@ -68,7 +68,7 @@ SELECT word, arg_min(w, rule) AS corrected, min(rule)::BIGINT AS rule FROM tries
 WHERE w <> word AND length(w) > 1 AND (length(w) <= 2 OR w IN (SELECT word FROM terms)) GROUP BY word"""
 )
 def word_repair(spark, sf):
-    vocabulary = i.vocabulary(spark, sf)
+    vocabulary = cut(i.vocabulary(spark, sf))
     terms = sp.domain_terms(vocabulary)
     stretched = vocabulary.where(F.length("word") > 4).select(
         F.expr(
