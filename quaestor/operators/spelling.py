@@ -31,6 +31,9 @@ WORD_THRESHOLD = 0.8
 TEXT_THRESHOLD = 0.7
 EXPORT_WORDS = 10_000
 
+CORRECTIONS_TYPE = (
+    "array<struct<original:string,corrected:string,confidence:double,position:int,method:string>>"
+)
 _PAIR_SCHEMA = "word string, suggestion string, ratio double"
 
 
@@ -381,33 +384,46 @@ def apply_corrections(
         ).alias("_hits")
     )
     joined = marked.join(per_text, "text_id", "left")
-    by_part = F.map_from_entries(
-        F.transform("_hits", lambda h: F.struct(h["at"], h["corrected"]))
-    )
-    rebuilt = F.array_join(
-        F.transform("_parts", lambda part, i: F.coalesce(F.col("_by_part")[i], part)), ""
+
+    def between(start, end):
+        """Parts number start to end - 1 as one string."""
+        return F.array_join(F.slice("_parts", start + 1, end - start), "")
+
+    # each piece is the text since the last correction and the corrected word
+    def piece(hit, n):
+        after = F.when(n == 0, F.lit(0)).otherwise(F.get("_hits", n - 1)["at"] + 1)
+        return F.concat(between(after, hit["at"]), hit["corrected"])
+
+    rebuilt = F.concat(
+        F.array_join(F.transform("_hits", piece), ""),
+        between(F.element_at("_hits", -1)["at"] + 1, F.size("_parts")),
     )
-    listed = F.transform(
-        "_hits",
-        lambda h: F.struct(
-            h["original"].alias("original"),
-            h["corrected"].alias("corrected"),
-            h["confidence"].alias("confidence"),
-            F.length(F.array_join(F.slice("_parts", F.lit(1), h["at"]), "")).alias("position"),
+
+    # one pass over the hits: (next part, its position, corrections so far)
+    def place(done, hit):
+        position = done["position"] + F.length(between(done["next"], hit["at"]))
+        entry = F.struct(
+            hit["original"].alias("original"),
+            hit["corrected"].alias("corrected"),
+            hit["confidence"].alias("confidence"),
+            position.alias("position"),
             F.lit("automatic").alias("method"),
-        ),
-    )
-    n = F.coalesce(F.size("_hits"), F.lit(0))
-    return joined.withColumn("_by_part", by_part).select(
+        )
+        return F.struct(
+            (hit["at"] + 1).alias("next"),
+            (position + F.length(hit["original"])).alias("position"),
+            F.concat(done["found"], F.array(entry)).alias("found"),
+        )
+
+    none = F.array().cast(CORRECTIONS_TYPE)
+    start = F.struct(F.lit(0).alias("next"), F.lit(0).alias("position"), none.alias("found"))
+    listed = F.aggregate("_hits", start, place, lambda done: done["found"])
+    corrected = F.col("_hits").isNotNull()
+    return joined.select(
         "text_id",
         "original_text",
-        F.when(F.col("_hits").isNull(), F.col("_repaired")).otherwise(rebuilt).alias("corrected_text"),
-        F.coalesce(
-            listed,
-            F.array().cast(
-                "array<struct<original:string,corrected:string,confidence:double,position:int,method:string>>"
-            ),
-        ).alias("corrections"),
-        F.col("_hits").isNotNull().alias("has_corrections"),
-        F.when(F.col("_hits").isNull(), F.lit(0)).otherwise(n).cast("long").alias("correction_count"),
+        F.when(corrected, rebuilt).otherwise(F.col("_repaired")).alias("corrected_text"),
+        F.when(corrected, listed).otherwise(none).alias("corrections"),
+        corrected.alias("has_corrections"),
+        F.when(corrected, F.size("_hits")).otherwise(F.lit(0)).cast("long").alias("correction_count"),
     )
