@@ -100,11 +100,17 @@ def _cogroup(lhs, rhs, keys, score, schema, cells):
     rhs = rhs.repartition(parts, *keys)
 
     def run(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        return score(lpdf, rpdf)
+        return plain(score(lpdf, rpdf))
 
     return lhs.groupBy(*keys).cogroup(rhs.groupBy(*keys)).applyInPandas(run, schema)
 
 
+def plain(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Strings as Python objects: chunked string columns do not convert back to Arrow."""
+    other = [c for c in pdf.columns if pdf[c].dtype.kind not in "iufb"]
+    return pdf.astype({c: object for c in other})
+
+
 def best_per(df: DataFrame, group: str, order: list, k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group; Spark cuts to k before the shuffle as well."""
     w = Window.partitionBy(group).orderBy(*order)

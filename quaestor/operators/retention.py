@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaestor.operators.blocks import plain
 from quaestor.operators.ordering import running_before
 from quaestor.session import cut
 
@@ -164,13 +165,15 @@ def _slot_hops(pdf: pd.DataFrame, ttl: int, key: str) -> pd.DataFrame:
     for i in np.flatnonzero(nxt >= 0)[::-1]:
         leave[i] = leave[nxt[i]]
     heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    return pd.DataFrame(
-        {
-            key: [pdf[key].iloc[0]] * len(heads),
-            "_slot": pdf["_slot"].iloc[0],
-            "_head_part": part[heads],
-            "_exit_part": leave[heads],
-        }
+    return plain(
+        pd.DataFrame(
+            {
+                key: [pdf[key].iloc[0]] * len(heads),
+                "_slot": pdf["_slot"].iloc[0],
+                "_head_part": part[heads],
+                "_exit_part": leave[heads],
+            }
+        )
     )
 
 
@@ -181,16 +184,16 @@ def _chain_heads(pdf: pd.DataFrame, key: str) -> pd.DataFrame:
     while at < len(heads):
         visited.append(at)
         at = int(np.searchsorted(heads, leave[at], side="right"))
-    return pdf.iloc[visited][[key, "_slot", "_head_part"]]
+    return plain(pdf.iloc[visited][[key, "_slot", "_head_part"]])
 
 
 def _slot_walks(rows: pd.DataFrame, heads: pd.DataFrame, ttl: int, key: str) -> pd.DataFrame:
     if rows.empty or heads.empty:
-        return pd.DataFrame({key: rows[key].iloc[:0], "_t": np.array([], dtype=np.int64)})
+        return plain(pd.DataFrame({key: [], "_t": np.array([], dtype=np.int64)}))
     t, part, _, nxt = _slot_steps(rows, ttl)
     picked = []
     for at in np.searchsorted(part, np.sort(heads["_head_part"].to_numpy())):
         while at >= 0:
             picked.append(t[at])
             at = nxt[at]
-    return pd.DataFrame({key: [rows[key].iloc[0]] * len(picked), "_t": np.array(picked)})
+    return plain(pd.DataFrame({key: [rows[key].iloc[0]] * len(picked), "_t": np.array(picked)}))
