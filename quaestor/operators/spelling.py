@@ -348,14 +348,34 @@ def correct_text(
     checker: DataFrame | None = None,
 ) -> DataFrame:
     """Repair, correct and rebuild texts."""
-    marked = _marked(texts, text_id, text)
-    unknown = unknown_words(_text_words(marked).select("word"), dictionary)
-    fixed = correct_unknown(unknown, dictionary, vocabulary, threshold, checker)
-    return apply_corrections(
-        texts,
-        fixed.where((F.col("corrected") != F.col("word")) & (F.col("confidence") >= threshold)),
-        text_id,
-        text,
+    outcomes = word_outcomes(texts, dictionary, vocabulary, text_id, text, threshold, checker)
+    return apply_corrections(texts, accepted_corrections(outcomes, threshold), text_id, text)
+
+
+def word_outcomes(
+    texts: DataFrame,
+    dictionary: DataFrame,
+    vocabulary: DataFrame,
+    text_id: str = "text_id",
+    text: str = "text",
+    threshold: float = TEXT_THRESHOLD,
+    checker: DataFrame | None = None,
+    decided: DataFrame | None = None,
+) -> DataFrame:
+    """Outcomes for the unknown words of texts; words in `decided` are taken from there."""
+    words = _text_words(_marked(texts, text_id, text)).select("word")
+    unknown = unknown_words(words, dictionary)
+    if decided is None:
+        return correct_unknown(unknown, dictionary, vocabulary, threshold, checker)
+    fresh = unknown.join(decided, "word", "left_anti")
+    return decided.unionByName(
+        correct_unknown(fresh, dictionary, vocabulary, threshold, checker)
+    )
+
+
+def accepted_corrections(outcomes: DataFrame, threshold: float = TEXT_THRESHOLD) -> DataFrame:
+    return outcomes.where(
+        (F.col("corrected") != F.col("word")) & (F.col("confidence") >= threshold)
     )
 
 
