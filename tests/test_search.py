@@ -236,6 +236,18 @@ def test_suggestions_and_words(spark):
     assert out["helllo"][2] == "none"  # one l is left: helo is no word
 
 
+def test_vocabulary_from_first_rows_and_export(spark):
+    texts = spark.createDataFrame([(2, "c c"), (0, "It's a-b 1x"), (1, "B b")], "n int, t string")
+    freq = lambda df: {r.word: r.freq for r in df.collect()}
+    assert freq(sp.learn_vocabulary(texts, "t")) == {"it": 1, "s": 1, "a": 1, "b": 3, "c": 2}
+    assert freq(sp.learn_vocabulary(texts, "t", 2, ["n"])) == {"it": 1, "s": 1, "a": 1, "b": 3}
+    assert [r.word for r in sp.export_vocabulary(sp.learn_vocabulary(texts, "t"), 3).collect()] == ["b", "c", "a"]
+    terms = vocab_of(spark, {"often": 3, "rarely": 2, "four": 9})
+    assert [r.word for r in sp.domain_terms(terms).collect()] == ["often"]
+    merged = sp.merge_dictionary(words_of(spark, ["often"]), words_of(spark, ["OFTEN", "New"]))
+    assert sorted(r.word for r in merged.collect()) == ["new", "often"]
+
+
 def test_checker_table(spark):
     checker = spark.createDataFrame([("teh", "the", 1)], "word string, suggestion string, position int")
     got = sp.correct_words(words_of(spark, ["teh"]), words_of(spark, ["the"]), vocab_of(spark, {"other": 1}), 0.3, checker)
