@@ -106,8 +106,9 @@ def _cogroup(lhs, rhs, keys, score, schema, cells):
 
 
 def plain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Strings as Python objects: chunked string columns do not convert back to Arrow."""
-    other = [c for c in pdf.columns if pdf[c].dtype.kind not in "iufb"]
+    """Strings, and columns without rows, as Python objects: an empty column has no type of
+    its own, and Arrow does not turn an empty number column into strings."""
+    other = [c for c in pdf.columns if pdf.empty or pdf[c].dtype.kind not in "iufb"]
     return pdf.astype({c: object for c in other})
 
 

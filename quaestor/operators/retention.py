@@ -14,7 +14,8 @@ from quaestor.session import cut
 DAY_SECONDS = 24 * 3600
 KEEP_SHARE = 0.8  # fixed value: retention shrinks to this share of the limit
 HOT_KEY_TIMES = 1_000_000  # distinct access times one group may hold
-BROADCAST_KEYS = 100_000
+BROADCAST_NUMBERS = 1_000_000
+MAX_QUANTILES = 5_000
 
 
 def expired(entries: DataFrame, now: Column, ttl_seconds: int = DAY_SECONDS) -> DataFrame:
@@ -54,7 +55,7 @@ def evict(
 # A miss creates the entry; later accesses hit until one comes more than `ttl` after the
 # creation. Only distinct access times matter, and the walk over them is sequential per key.
 # Ordinary keys are walked whole. A hot key is cut into phases: slot s holds the times whose
-# offset inside their ttl-long period falls into the s-th part. "created + ttl" lies one
+# offset inside their ttl-long period falls between two bounds. "created + ttl" lies one
 # period on at the same offset, so a walk stays in its slot until it finds no later time
 # there; it then goes on at the first time of the next non-empty part. Those first times
 # (heads) form a short chain per key, solved separately.
@@ -95,13 +96,17 @@ def miss_times(
         .select(key, F.ceil(F.col("_n") / hot_key_times).cast("long").alias("_slots"))
         .persist()
     )
-    n_hot = hot.count()
+    n_hot, most_slots = hot.agg(F.count("*"), F.max("_slots")).first()
     if n_hot == 0:
         return _walk_keys(times, ttl, key)
-    if n_hot <= BROADCAST_KEYS:
+    # each hot key carries its slot bounds
+    small = n_hot * most_slots <= BROADCAST_NUMBERS
+    if small:
         hot = F.broadcast(hot)
-    plain = _walk_keys(times.join(hot, key, "left_anti"), ttl, key)
-    return plain.unionByName(_hot_miss_times(times.join(hot, key), ttl, key))
+    ordinary = _walk_keys(times.join(hot, key, "left_anti"), ttl, key)
+    return ordinary.unionByName(
+        _hot_miss_times(times.join(hot, key), ttl, key, min(most_slots, MAX_QUANTILES), small)
+    )
 
 
 def _walk_keys(times: DataFrame, ttl: int, key: str) -> DataFrame:
@@ -117,14 +122,42 @@ def _walk_keys(times: DataFrame, ttl: int, key: str) -> DataFrame:
     )
 
 
-def _hot_miss_times(times: DataFrame, ttl: int, key: str) -> DataFrame:
+def _hot_miss_times(
+    times: DataFrame, ttl: int, key: str, quantiles: int, small: bool
+) -> DataFrame:
     period = F.floor(F.col("_t") / F.lit(ttl)).cast("long")
-    offset = F.col("_t") - period * F.lit(ttl)
-    slotted = times.select(
+    placed = times.select(
+        key, "_t", period.alias("_period"), (F.col("_t") - period * F.lit(ttl)).alias("_offset"), "_slots"
+    )
+    # slots of equal size, however the accesses crowd within the period: the bounds of a key
+    # with n slots are n - 1 of the quantiles of its offsets
+    shares = [n / quantiles for n in range(1, quantiles)]
+    last = F.lit(quantiles - 1).cast("long")
+
+    def bound(n):
+        at = F.floor(n * quantiles / F.col("_n_slots")).cast("long")
+        return F.get("_q", (F.least(F.greatest(at, F.lit(1)), last) - 1).cast("int"))
+
+    bounds = (
+        placed.groupBy(key)
+        .agg(
+            F.percentile_approx("_offset", shares, 10_000).alias("_q"),
+            F.max("_slots").alias("_n_slots"),
+        )
+        .select(
+            key,
+            F.transform(
+                F.sequence(F.lit(1).cast("long"), F.col("_n_slots") - 1), bound
+            ).alias("_bounds"),
+        )
+    )
+    if small:
+        bounds = F.broadcast(bounds)
+    slotted = placed.join(bounds, key).select(
         key,
         "_t",
-        period.alias("_period"),
-        F.floor(offset * F.col("_slots") / F.lit(ttl)).cast("long").alias("_slot"),
+        "_period",
+        F.size(F.filter("_bounds", lambda c: c <= F.col("_offset"))).cast("long").alias("_slot"),
         "_slots",
     )
     # part number grows with time, so parts of one key are ordered by it

@@ -43,6 +43,7 @@ def test_miss_times_equal_a_walk(spark, limit):
         "equal": [0, 100, 101, 201, 202],
         "sparse": [rng.randrange(10**6) for _ in range(40)],
         "one": [5],
+        "crowded": [day * 100 + rng.choice((40, 41)) for day in range(60)] + list(range(1040, 1060)),
     }
     rows = [(k, t * 1_000_000) for k, ts in data.items() for t in set(ts)]
     times = spark.createDataFrame(rows, "key string, _t long").repartition(5)
