@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 
 def build_session(master: str | None = None, app: str = "quaestor", **conf) -> SparkSession:
     """A session with the settings the jobs expect; cluster settings win over none of them."""
@@ -28,7 +32,21 @@ def build_session(master: str | None = None, app: str = "quaestor", **conf) -> S
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, where it need not be installed."""
+    app = spark.sparkContext.applicationId
+    package = Path(__file__).parent
+    if app not in _shipped and package.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="quaestor-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(app)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

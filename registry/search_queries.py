@@ -251,7 +251,7 @@ def best_match(spark, sf):
     )
 
 
-# questions of varying length over the vectors, so that ranges, fallback and caps all occur
+# texts of varying length over the vectors, so that full, small and empty ranges occur
 _BUCKETED = f"""{i.VECTORS},
 doc AS (SELECT e.vec_id AS id, length(d.text) // 50 AS b FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
 asked AS (SELECT q.id, q.v, length(d.text) AS n FROM q JOIN documents d ON d.doc_id = q.id),
@@ -260,11 +260,11 @@ span AS (SELECT id, v, greatest(0, floor((n - tol) / 50.0))::BIGINT AS lo, floor
 inside AS (
   SELECT id, v, faq_id, nth FROM (
     SELECT s.id, s.v, d.id AS faq_id, row_number() OVER (PARTITION BY s.id ORDER BY d.b, d.id) AS nth
-    FROM span s JOIN doc d ON d.b BETWEEN s.lo AND s.hi) WHERE nth <= 40),
+    FROM span s JOIN doc d ON d.b BETWEEN s.lo AND s.hi) WHERE nth <= 5000),
 cand AS (
   SELECT * FROM inside
   UNION ALL SELECT s.id, s.v, d.id, row_number() OVER (PARTITION BY s.id ORDER BY d.id)
-  FROM span s CROSS JOIN (SELECT id FROM doc ORDER BY id LIMIT 40) d
+  FROM span s CROSS JOIN (SELECT id FROM doc ORDER BY id LIMIT 5000) d
   WHERE s.id NOT IN (SELECT id FROM inside)),
 sized AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM cand),
 scored AS (SELECT q.id, faq_id, nth, CASE WHEN n < 10 THEN 0.0 ELSE round({i.COSINE}, 12) END AS s
@@ -282,7 +282,7 @@ def length_bucket_search(spark, sf):
     asked = i.mixed_vectors(spark, sf).join(
         docs.select(F.col("faq_id").alias("query_id"), F.col("question").alias("query")), "query_id"
     )
-    return _matches(ve.length_bucket_search(asked, corpus, 10, max_candidates=40))
+    return _matches(ve.length_bucket_search(asked, corpus, 10))
 
 
 # --- fuzzy --------------------------------------------------------------------------------

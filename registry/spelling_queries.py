@@ -133,10 +133,10 @@ def correct_text(spark, sf):
     )
 
 
-# corrections taken from the vocabulary by rule: every word whose length divides by 3, reversed
+# corrections taken from the vocabulary by rule: every word longer than two letters, reversed
 @query(
     rf"""WITH {_WORDS}, fix AS (SELECT word, reverse(word) AS corrected FROM vocab
-  WHERE length(word) > 2 AND length(word) % 3 = 0 AND reverse(word) <> word),
+  WHERE length(word) > 2 AND reverse(word) <> word),
 turns AS (SELECT conv_id * 100000 + turn AS tid, text FROM conversations),
 {i.repair_sql('turns', 'tid', 'text')},
 parts AS (
@@ -157,7 +157,7 @@ FROM fixed GROUP BY id"""
 def apply_corrections(spark, sf):
     fix = (
         i.vocabulary(spark, sf)
-        .where((F.length("word") > 2) & (F.length("word") % 3 == 0))
+        .where(F.length("word") > 2)
         .select("word", F.reverse("word").alias("corrected"), F.lit(1.0).alias("confidence"))
         .where(F.col("word") != F.col("corrected"))
     )

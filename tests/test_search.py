@@ -129,6 +129,29 @@ def test_length_buckets_fallback_and_unscored(spark):
     assert few == [(0, 1, 0, 0.0), (0, 2, 1, 0.0), (0, 3, 2, 0.0)]
 
 
+def test_length_bucket_cap(spark):
+    """Against a walk over buckets and positions, with a small cap."""
+    rng = random.Random(2)
+    questions = [(n, "x" * rng.randrange(1, 400), [rng.random(), rng.random()]) for n in range(120)]
+    asked = [(n, "y" * size, [rng.random(), rng.random()]) for n, size in enumerate([5, 60, 149, 150, 153, 390, 3000])]
+    want = set()
+    for q, text, v in asked:
+        slack = max(50, len(text) // 3)
+        span = range(max(0, (len(text) - slack) // 50), (len(text) + slack) // 50 + 1)
+        near = [c for b in span for c in questions if len(c[1]) // 50 == b][:15] or questions[:15]
+        cos = lambda c: np.dot(c[2], v) / np.linalg.norm(c[2]) / np.linalg.norm(v)
+        best = sorted(near, key=cos, reverse=True)[:4]
+        want |= {(q, n, c[0]) for n, c in enumerate(best, 1)}
+    schema = "embedding array<double>"
+    got = ve.length_bucket_search(
+        spark.createDataFrame(asked, f"query_id long, query string, {schema}"),
+        spark.createDataFrame(questions, f"faq_id long, question string, {schema}"),
+        4,
+        max_candidates=15,
+    ).collect()
+    assert {(r.query_id, r["rank"], r.faq_id) for r in got} == want
+
+
 # --- fuzzy
 
 
