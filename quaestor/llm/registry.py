@@ -5,13 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import langid
+from quaestor.llm import langid, quality, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; no SQL, accuracy is tested on the held-out rows."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failure bits and verdict of every document."""
+    return rules.judge(_table(spark, sf_dir, "documents")).select(
+        "doc_id", *rules.MEASURES, "base_failed", "kept", "failed"
+    )
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS window
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) > 2)
+), again AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, window) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS t(k) GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id
+), bits AS (
+  SELECT *, CAST(
+      CASE WHEN n_words < 50 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN word_chars < 2 * n_words THEN 4 ELSE 0 END
+    + CASE WHEN word_chars > 15 * n_words THEN 8 ELSE 0 END
+    + CASE WHEN 100 * n_symbols > 20 * n_words THEN 16 ELSE 0 END
+    + CASE WHEN n_dup_lines >= 5 AND 50 * n_dup_lines > n_words THEN 32 ELSE 0 END AS BIGINT) AS failed
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       failed % 4 > 0 AS base_failed, failed = 0 AS kept, failed
+FROM bits
+"""
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; no SQL, accuracy is tested on the held-out rows."""
     return langid.identify(_table(spark, sf_dir, "documents")).select(
@@ -20,7 +69,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op4_quality_rules": OP4_SQL,
+}
