@@ -32,10 +32,10 @@ WITH d AS (
                      lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
 ), windows AS (
-  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS window
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS tri
   FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) > 2)
 ), again AS (
-  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, window) AS n FROM windows) WHERE n > 1
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, tri) AS n FROM windows) WHERE n > 1
 ), covered AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS t(k) GROUP BY doc_id
 ), m AS (
