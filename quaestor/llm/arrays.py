@@ -139,7 +139,7 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
             yield batch.slice(int(a), int(b - a))
 
 
-def map_slices(df, fn: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text"):
+def map_slices(df, fn: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text", rows: int = 512):
     """`mapInArrow` over slices; `fn` returns the output columns in the schema's order."""
 
     def run(batches):
@@ -150,5 +150,5 @@ def map_slices(df, fn: Callable[[pa.RecordBatch], dict], schema: str, text: str
 
     spark = df.sparkSession
     # long texts: few rows to a batch
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(run, schema)
