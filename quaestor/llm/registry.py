@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import chat, langid, quality, rules, warc
+from quaestor.llm import chat, html, langid, mixture, quality, rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,83 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the corpus' tokens, mixed to the recipe's weights."""
+    return mixture.mix(_table(spark, sf_dir, "documents"))
+
+
+def mixture_sql(documents: str, columns: str = "doc_id, domain, lang, source, epoch, n_tokens, take_tokens") -> str:
+    """The mixture of RECIPE over a table, in SQL."""
+    return rf"""
+WITH t AS (
+  SELECT doc_id, {mixture.RECIPE.domain_of} AS domain, coalesce(lang, 'unknown') AS lang,
+         coalesce(source, 'unknown') AS source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM {documents}
+), leaf AS (
+  SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS available, CAST(2 * sum(n_tokens) AS BIGINT) AS cap,
+         CASE domain WHEN 'web' THEN 3 WHEN 'news' THEN 4 WHEN 'books' THEN 2 ELSE 1 END AS w_domain,
+         CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 3 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END AS w_lang
+  FROM t WHERE n_tokens > 0 GROUP BY domain, lang, source
+), l AS (
+  SELECT domain, lang, w_domain, w_lang, CAST(sum(cap) AS BIGINT) AS cap FROM leaf GROUP BY ALL
+), d AS (
+  SELECT domain, w_domain, CAST(sum(cap) AS BIGINT) AS cap,
+         (SELECT CAST(floor(coalesce(sum(available), 0) * 1 / 2) AS BIGINT) FROM leaf) AS budget
+  FROM l GROUP BY ALL
+), d1 AS (
+  SELECT *, cap / w_domain AS ratio,
+         (budget - coalesce(sum(cap) OVER (ORDER BY cap / w_domain, domain
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(w_domain) OVER (ORDER BY cap / w_domain, domain
+                               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM d
+), d2 AS (
+  SELECT domain, CAST(CASE WHEN ratio <= top THEN cap ELSE least(cap, floor(top * w_domain)) END AS BIGINT) AS quota
+  FROM (SELECT *, max(level) OVER () AS top FROM d1)
+), l1 AS (
+  SELECT l.*, cap / w_lang AS ratio,
+         (quota - coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap / w_lang, lang
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(w_lang) OVER (PARTITION BY domain ORDER BY cap / w_lang, lang
+                             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM l JOIN d2 USING (domain)
+), l2 AS (
+  SELECT domain, lang, CAST(CASE WHEN ratio <= top THEN cap ELSE least(cap, floor(top * w_lang)) END AS BIGINT) AS quota
+  FROM (SELECT *, max(level) OVER (PARTITION BY domain) AS top FROM l1)
+), s1 AS (
+  SELECT leaf.*, cap / 1 AS ratio,
+         (quota - coalesce(sum(cap) OVER (PARTITION BY domain, lang ORDER BY cap / 1, source
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / count(*) OVER (PARTITION BY domain, lang ORDER BY cap / 1, source
+                          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM leaf JOIN l2 USING (domain, lang)
+), s2 AS (
+  SELECT domain, lang, source, available,
+         CAST(CASE WHEN ratio <= top THEN cap ELSE least(cap, floor(top * 1)) END AS BIGINT) AS quota
+  FROM (SELECT *, max(level) OVER (PARTITION BY domain, lang) AS top FROM s1)
+), q AS (
+  SELECT domain, lang, source, CAST(quota // available AS INTEGER) AS whole, quota % available AS rest
+  FROM s2 WHERE quota > 0
+), placed AS (
+  SELECT t.*, whole, rest FROM t JOIN q USING (domain, lang, source) WHERE n_tokens > 0
+), ordered AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (
+      PARTITION BY domain, lang, source
+      ORDER BY md5('17:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, n_tokens
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM placed WHERE rest > 0
+), chosen AS (
+  SELECT doc_id, domain, lang, source, CAST(e AS INTEGER) AS epoch, n_tokens, n_tokens AS take_tokens
+  FROM (SELECT *, unnest(range(whole)) AS e FROM placed)
+  UNION ALL
+  SELECT doc_id, domain, lang, source, whole, n_tokens, CAST(least(n_tokens, rest - before) AS BIGINT)
+  FROM ordered WHERE before < rest
+)
+SELECT {columns} FROM chosen
+"""
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and verdict of every document."""
     return rules.judge(_table(spark, sf_dir, "documents")).select(
@@ -68,6 +145,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; no SQL, tested against plain extraction on known markup."""
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
     back = warc.archive(_table(spark, sf_dir, "pages"))
@@ -130,13 +212,16 @@ FROM escaped GROUP BY conv_id
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_mixture": op3_mixture,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
+    "op7_html_extraction": op7_html_extraction,
     "op8_warc": op8_warc,
     "op9_chat_formatting": op9_chat_formatting,
 }
 
 SQL = {
+    "op3_mixture": mixture_sql("documents"),
     "op4_quality_rules": OP4_SQL,
     "op8_warc": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
