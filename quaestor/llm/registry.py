@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import chat, html, langid, mixture, quality, rules, warc
+from quaestor.llm import chat, decontaminate, html, langid, mixture, quality, rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,44 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    judged = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return judged.drop("_text")
+
+
+OP2_SQL = r"""
+WITH item AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+), wins AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS win
+  FROM (SELECT *, unnest(generate_series(1, len(w) - least(len(w), 13) + 1)) AS i FROM item WHERE len(w) > 0)
+), lengths AS (SELECT DISTINCT n FROM wins
+), doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), docwins AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT doc.*, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM doc, lengths WHERE len(w) >= n)
+), found AS (
+  SELECT DISTINCT doc_id, i, d.n, item_id FROM docwins d JOIN wins USING (n, win)
+), hit AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS k FROM found) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the corpus' tokens, mixed to the recipe's weights."""
     return mixture.mix(_table(spark, sf_dir, "documents"))
@@ -212,6 +250,7 @@ FROM escaped GROUP BY conv_id
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_decontamination": op2_decontamination,
     "op3_mixture": op3_mixture,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
@@ -221,6 +260,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_decontamination": OP2_SQL,
     "op3_mixture": mixture_sql("documents"),
     "op4_quality_rules": OP4_SQL,
     "op8_warc": OP8_SQL,
