@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import chat, decontaminate, html, langid, mixture, quality, rules, warc
+from quaestor.llm import chat, decontaminate, html, langid, mixture, neardup, quality, rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -183,6 +183,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents; tested against brute force."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page; no SQL, tested against plain extraction on known markup."""
     return html.extract(_table(spark, sf_dir, "pages"))
@@ -254,6 +259,7 @@ QUERIES = {
     "op3_mixture": op3_mixture,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
+    "op6_minhash": op6_minhash,
     "op7_html_extraction": op7_html_extraction,
     "op8_warc": op8_warc,
     "op9_chat_formatting": op9_chat_formatting,
