@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import chat, decontaminate, html, langid, mixture, neardup, quality, rules, warc
+from quaestor.llm import chat, decontaminate, html, langid, linededup, mixture, neardup, quality, rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -253,6 +253,12 @@ FROM escaped GROUP BY conv_id
 """
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that another one keeps; tested against brute force."""
+    rows = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -263,6 +269,7 @@ QUERIES = {
     "op7_html_extraction": op7_html_extraction,
     "op8_warc": op8_warc,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL = {
