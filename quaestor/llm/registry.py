@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quaestor.llm import chat, decontaminate, html, langid, linededup, mixture, neardup, quality, rules, warc
 
 
@@ -270,6 +271,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
