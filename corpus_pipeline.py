@@ -10,8 +10,11 @@ and read again as the next one's `docs`. All but the last return the columns of
 5. mixture: the rest is drawn to the recipe's weights; one row per document and epoch, with
    `epoch`, `n_tokens` and `take_tokens` besides the document's columns.
 
-`n_chars` follows the text. Empty tables pass through every stage. A document with a null id
-takes part in every stage but near-duplicate linking, which keeps it.
+`n_chars` follows the text. Empty tables pass through every stage; without any `lang` nothing
+can be told and all go in the first. A document with a null id takes part in every stage but
+near-duplicate linking, which keeps it. Of rows that repeat an id, near-duplicate removal keeps
+or drops all, and the mixture takes those of equal length alike. Further columns are carried along,
+except those that the mixture's own replace.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what is written in a learned language, under its predicted name."""
     model = langid.train(docs)
     plain = [c for c in docs.columns if c != "lang"]
-    found = langid.predict(docs, model, tuple(plain)).where("NOT rejected")
-    return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    found = langid.predict(docs, model, tuple(plain), prefix="__").where("NOT __rejected")
+    return found.select(*[F.col("__lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +54,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draw documents to the recipe's weights."""
-    drawn = mixture.mix(docs).select(F.col("doc_id").alias("__id"), "epoch", "n_tokens", "take_tokens")
-    return docs.join(drawn, F.expr("doc_id <=> __id")).drop("__id")
+    added = ["epoch", "n_tokens", "take_tokens"]
+    drawn = mixture.mix(docs).select(F.col("doc_id").alias("__id"), *added)
+    # rows that repeat an id are drawn one by one, but joined once
+    drawn = drawn.dropDuplicates(["__id", "epoch", "n_tokens"])
+    given = docs.select(*[c for c in docs.columns if c not in added], mixture.word_count().alias("__n"))
+    return given.join(drawn, F.expr("doc_id <=> __id AND __n = n_tokens")).drop("__id", "__n")
 
 
 STAGES = [

@@ -12,10 +12,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quaestor.session import ship
+
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2**64
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 
 # \x20 and \x09-\x0D
 SPACE = np.zeros(256, bool)
@@ -139,7 +142,14 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
             yield batch.slice(int(a), int(b - a))
 
 
-def map_slices(df, fn: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text", rows: int = 512):
+def tuned(df):
+    """`df`, in a session that has sent this package to the workers and bounds Arrow batches by
+    bytes: texts may be long."""
+    ship(df.sparkSession).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def map_slices(df, fn: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text"):
     """`mapInArrow` over slices; `fn` returns the output columns in the schema's order."""
 
     def run(batches):
@@ -148,7 +158,4 @@ def map_slices(df, fn: Callable[[pa.RecordBatch], dict], schema: str, text: str
                 out = fn(part)
                 yield pa.record_batch(list(out.values()), names=list(out))
 
-    spark = df.sparkSession
-    # long texts: few rows to a batch
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(run, schema)
+    return tuned(df).mapInArrow(run, schema)

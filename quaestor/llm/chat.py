@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.arrays import map_slices
+from quaestor.llm.arrays import map_slices, tuned
 
 TURN, END = "<|im_start|>", "<|im_end|>\n"
 # what a text must not hold unescaped: this template's marks and those of other public templates
@@ -221,8 +221,7 @@ def digest(turns: DataFrame, key: str, order: list[str]) -> DataFrame:
         if state is not None:
             yield row(open_key, state)
 
-    turns.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return placed.mapInArrow(
+    return tuned(placed).mapInArrow(
         run, f"`{key}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 

@@ -127,8 +127,9 @@ def train(labelled: DataFrame, seed: int = 1) -> LanguageModel:
     return fit([(r["lang"], np.array(r["grams"], np.int64)) for r in sample.collect()], seed=seed)
 
 
-def predict(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`carry` columns, `lang_pred`, `score` (calibrated probability), `rejected`."""
+def predict(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """`carry` columns, `lang_pred`, `score` (calibrated probability), `rejected`; the three
+    under names with `prefix`, where carried columns could clash."""
     fields = docs.select(*carry).schema.fields
     languages = np.array([*model.languages, "und"], object)
 
@@ -153,14 +154,16 @@ def predict(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ("do
         top = np.where(has, p.argmax(axis=1), k)
         best = np.where(has, p.max(axis=1), 0.0)
         return {c: part.column(c) for c in carry} | {
-            "lang_pred": pa.array(languages[top], pa.string()),
-            "score": pa.array(best),
-            "rejected": pa.array(~has | (best < model.threshold)),
+            f"{prefix}lang_pred": pa.array(languages[top], pa.string()),
+            f"{prefix}score": pa.array(best),
+            f"{prefix}rejected": pa.array(~has | (best < model.threshold)),
         }
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return map_slices(
-        docs.select(*dict.fromkeys((*carry, "text"))), score, f"{schema}, lang_pred string, score double, rejected boolean"
+        docs.select(*dict.fromkeys((*carry, "text"))),
+        score,
+        f"{schema}, {prefix}lang_pred string, {prefix}score double, {prefix}rejected boolean",
     )
 
 

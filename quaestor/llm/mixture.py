@@ -59,15 +59,19 @@ def _weight(column: str, weights: dict[str, int], other: int) -> Column:
     return value.cast("long")
 
 
+def word_count() -> Column:
+    """Tokens of `text`: its words."""
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def tokens(docs: DataFrame, recipe: Recipe) -> DataFrame:
     """`doc_id`, leaf and `n_tokens` (words) of every document."""
-    n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     return docs.select(
         "doc_id",
         F.expr(recipe.domain_of).alias("domain"),
         F.coalesce("lang", F.lit("unknown")).alias("lang"),
         F.coalesce("source", F.lit("unknown")).alias("source"),
-        n.alias("n_tokens"),
+        word_count().alias("n_tokens"),
     )
 
 

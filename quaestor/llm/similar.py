@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.llm.arrays import tuned
 from quaestor.llm.graph import stored
 
 SMALL = 12
@@ -130,7 +131,7 @@ def large_links(company: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         kept = table.schema.field("id").type
         return pa.table({"a": pa.array([x for x, _ in found], kept), "b": pa.array([y for _, y in found], kept)})
 
-    return dealt.groupBy("key", "p", "q").applyInArrow(compare, f"a {kind}, b {kind}")
+    return tuned(dealt).groupBy("key", "p", "q").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def links(buckets: DataFrame, sets_of, percent: int, sized: bool = True) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm.arrays import map_slices
+from quaestor.llm.arrays import map_slices, tuned
 from quaestor.session import scratch_path
 
 # fixed values of the format
@@ -143,8 +143,7 @@ def write(planned: DataFrame, folder: str, dictionary: bytes = b"") -> DataFrame
         if frames:
             yield close()
 
-    planned.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    rows = planned.select("page_id", "url", "html", "digest", "refers_to")
+    rows = tuned(planned).select("page_id", "url", "html", "digest", "refers_to")
     return rows.mapInArrow(run, "path string, n_records long")
 
 
@@ -269,9 +268,9 @@ def read(spark: SparkSession, paths: list[str], payloads: bool = True) -> DataFr
     )
     if not paths:
         return spark.createDataFrame([], schema)
-    # archives are whole rows: a few to a batch
+    # archives are whole rows: one or two to a batch
     files = spark.read.format("binaryFile").load(paths).select("content")
-    return map_slices(files, run, schema, "content", rows=2)
+    return map_slices(files, run, schema, "content")
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
