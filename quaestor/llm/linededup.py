@@ -34,6 +34,7 @@ SHINGLE = 7
 PERCENT = 80
 BANDS = 10
 ROWS = 4
+REMOVED_BROADCAST = 4_000_000  # line numbers
 _BINS = BANDS * ROWS
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -111,13 +112,17 @@ def _lines(part: pa.RecordBatch) -> dict:
     }
 
 
-def _chosen_sets(part: pa.RecordBatch) -> dict:
+def _chosen_lines(part: pa.RecordBatch) -> dict:
     ids, chosen = [], []
     for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist()):
         lines = text.split("\n")
         for w in wanted:
             ids.append(w["id"]), chosen.append(normal(lines[w["line"]]))
-    return {"id": pa.array(ids, pa.int64()), "items": lists(*distinct_sorted(*_shingles(chosen)))}
+    return {"id": pa.array(ids, pa.int64()), "payload": pa.array(chosen, pa.binary())}
+
+
+def _decode(payload: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return distinct_sorted(*_shingles(payload.to_pylist()))
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -134,18 +139,17 @@ def removals(docs: DataFrame) -> DataFrame:
     )
     buckets = heads.select(F.explode("bands").alias("key"), "id", "n")
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
+    def lines_of(wanted: DataFrame) -> DataFrame:
         where = heads.select("id", "first").join(wanted, "id", "left_semi")
         where = where.groupBy(F.col("first.doc_id").alias("d"), F.col("first.t").alias("u")).agg(
             F.collect_list(F.struct("id", F.col("first.line").alias("line"))).alias("wanted")
         )
-        where = stored(where, "wanted")
-        if where.count() <= similar.IDS_BROADCAST:
-            where = F.broadcast(where)
-        found = texts.join(where, F.expr("doc_id <=> d AND t = u")).select("text", "wanted").distinct()
-        return map_slices(found, _chosen_sets, "id long, items array<bigint>").dropDuplicates(["id"])
+        where = similar.bounded(stored(where, "wanted"))
+        found = texts.join(where, F.expr("doc_id <=> d AND t = u")).select("text", "wanted")
+        # rows that repeat an id and text give their lines once each
+        return map_slices(found, _chosen_lines, "id long, payload binary").dropDuplicates(["id"])
 
-    joined = components(similar.links(buckets, sets_of, PERCENT, sized=False))
+    joined = components(similar.links(buckets, lines_of, PERCENT, _decode))
     # classes beyond their keeper: only those of components, and those with copies
     heads = heads.select("id", "rest", "first").join(joined, "id", "left")
     keeper = (
@@ -165,7 +169,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents with their columns, the text without its removed lines, and two more:
     `__n_lines` (lines with a word) and `__n_removed`."""
     gone = removals(docs).select(F.col("doc_id").alias("__d"), F.col("t").alias("__u"), "removed")
-    gone = gone.withColumnRenamed("removed", "__removed")
+    gone = stored(gone.withColumnRenamed("removed", "__removed"), "gone")
+    rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("__removed")), F.lit(0))).first()
+    if rows <= similar.IDS_BROADCAST and numbers <= REMOVED_BROADCAST:
+        gone = F.broadcast(gone)
     tagged = docs.withColumn("__t", F.xxhash64("text"))
     joined = tagged.join(gone, F.expr("doc_id <=> __d AND __t = __u"), "left").select(*docs.columns, "__removed")
     names = docs.columns

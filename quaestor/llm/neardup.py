@@ -68,7 +68,7 @@ def _signature(part: pa.RecordBatch) -> dict:
 
 
 def _full_sets(part: pa.RecordBatch) -> dict:
-    return {"id": part.column("doc_id"), "items": lists(*_sets(part.column("text")))}
+    return {"id": part.column("doc_id"), "payload": lists(*_sets(part.column("text")))}
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         rows = docs.select("doc_id", "text").join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        return map_slices(rows, _full_sets, f"id {kind}, items array<bigint>")
+        return map_slices(rows, _full_sets, f"id {kind}, payload array<bigint>")
 
     found = similar.links(buckets, sets_of, PERCENT)
     ties = members.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))

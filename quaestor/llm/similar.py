@@ -1,21 +1,28 @@
 """Verified links between the members of hash buckets, for sets of 64-bit shingles.
 
-Buckets come from MinHash tables: (`key`, `id`, `n`), n being the set's size. Members of a
-bucket are compared on their full sets, exactly, and nothing is sampled:
+Buckets come from MinHash tables: (`key`, `id`, `n`), n being about the set's size. Members of
+a bucket are compared on their full sets, exactly, and nothing is sampled:
 
+* of a bucket of two or three, the ids follow from its count, least, greatest and exclusive-or,
+  which one aggregation gives; most buckets are such, and their rows never move again;
 * a bucket of up to SMALL members gives its pairs, at most SMALL / 2 for each row;
 * a larger one gives none. Its members are dealt to blocks of bounded bytes, one task group
   compares two blocks by counting common shingles in a sparse matrix, and returns a spanning
   forest of the links it found: as many rows as members at most, and the same components.
 
 Equal large buckets, which copies of one template make in many tables, are compared once.
+
+What a set is made from travels as a `payload`: the set itself, or a shorter text that `decode`
+turns into the set inside the comparing task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.arrays import tuned
@@ -27,33 +34,78 @@ BLOCK_ITEMS = 400_000  # shingles in a block, about
 IDS_BROADCAST = 500_000
 COLUMNS = 4_096  # of the matrix at a time
 
+Decode = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
+
+def lists_of(payload: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Decode of payloads that are the sorted sets themselves."""
+    offsets = payload.offsets.to_numpy()
+    return payload.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+
 
-def buckets_with_company(buckets: DataFrame) -> DataFrame:
-    """Rows of buckets with two members or more, with the bucket's size `members` and `items`."""
+def bounded(df: DataFrame, rows: int = IDS_BROADCAST) -> DataFrame:
+    """A stored table, to be broadcast if it has at most `rows` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def split_buckets(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (`a`, `b`) of the buckets of two and three, and the rows of larger ones with the
+    bucket's size `members` and `items`."""
     # counted in each task first, so a bucket with any share of the rows is one row per task
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("items")).where("members > 1")
-    return stored(buckets.join(sizes, "key"), "buckets")
+    shared = stored(
+        buckets.groupBy("key")
+        .agg(
+            F.count("*").alias("members"), F.sum("n").alias("items"), F.min("id").alias("lo"), F.max("id").alias("hi"),
+            F.bit_xor("id").alias("x"),
+        )
+        .where("members > 1"),
+        "keys",
+    )
+    third = F.expr("x ^ lo ^ hi")
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    lo, hi = F.col("lo"), F.col("hi")
+    few = shared.where("members <= 3").select(
+        F.inline(F.when(F.col("members") == 2, F.array(pair(lo, hi))).otherwise(F.array(pair(lo, hi), pair(lo, third), pair(third, hi))))
+    )
+    wide = bounded(stored(shared.where("members > 3").select("key", "members", "items"), "wide"))
+    return few.where("a <> b").distinct(), stored(buckets.join(wide, "key"), "buckets")
 
 
-def small_pairs(company: DataFrame, within: Column) -> DataFrame:
-    """Distinct pairs (`a` < `b`) of the small buckets whose sizes `x.n`, `y.n` can be similar enough."""
+def small_pairs(company: DataFrame) -> DataFrame:
+    """Pairs (`a` < `b`) of the buckets up to SMALL."""
     rows = company.where(F.col("members") <= SMALL)
-    groups = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("m"))
+    groups = rows.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("m"))
     x = groups.select("m", F.posexplode_outer("m").alias("i", "x"))
-    y = x.select("x", F.explode_outer(F.slice("m", F.col("i") + 2, F.lit(SMALL))).alias("y"))
-    y = y.where(F.col("y").isNotNull()).where("x.id <> y.id").where(within)
-    return y.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    y = x.select(F.col("x").alias("a"), F.explode_outer(F.slice("m", F.col("i") + 2, F.lit(SMALL))).alias("b"))
+    return y.where("a <> b").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, enough: Column) -> DataFrame:
-    """Pairs whose full sets pass `enough` over `both`, `na`, `nb` (sizes of the common part and the sets)."""
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("xs"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("ys"))
+def verified(pairs: DataFrame, payloads: DataFrame, percent: int, decode: Decode | None) -> DataFrame:
+    """Pairs of sets with 100 * common >= percent * union."""
+    left = payloads.select(F.col("id").alias("a"), F.col("payload").alias("xs"))
+    right = payloads.select(F.col("id").alias("b"), F.col("payload").alias("ys"))
     joined = pairs.join(left, "a").join(right, "b")
-    counted = joined.select(
-        "a", "b", F.size("xs").alias("na"), F.size("ys").alias("nb"), F.size(F.array_intersect("xs", "ys")).alias("both")
-    )
-    return counted.where(enough).select("a", "b")
+    if decode is None:
+        sizes = joined.select("a", "b", "xs", "ys", F.size("xs").alias("na"), F.size("ys").alias("nb"))
+        fit = sizes.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        counted = fit.select("a", "b", "na", "nb", F.size(F.array_intersect("xs", "ys")).alias("both"))
+        return counted.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def check(batches):
+        for batch in batches:
+            (xs, fx), (ys, fy) = decode(batch.column("xs")), decode(batch.column("ys"))
+            keep = []
+            for i in range(batch.num_rows):
+                x, y = xs[fx[i] : fx[i + 1]], ys[fy[i] : fy[i + 1]]
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return tuned(joined.select("a", "b", "xs", "ys")).mapInArrow(check, f"a {kind}, b {kind}")
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -96,7 +148,7 @@ def forest(ids: list, at: np.ndarray, to: np.ndarray) -> list[tuple]:
     return out
 
 
-def large_links(company: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def large_links(company: DataFrame, payloads: DataFrame, percent: int, decode: Decode | None) -> DataFrame:
     """Spanning links (100 * common >= percent * union) of the buckets above SMALL."""
     rows = company.where(F.col("members") > SMALL)
     same = rows.groupBy("key").agg(
@@ -109,15 +161,17 @@ def large_links(company: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id")
-    dealt = dealt.join(sets.select("id", F.col("items").alias("set")), "id")
+    dealt = dealt.join(payloads.select("id", "payload"), "id")
     kind = company.schema["id"].dataType.simpleString()
+    sets_in = decode or lists_of
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         p = table.column("p")[0].as_py()
         own = table.column("own").to_numpy()
         ids = table.column("id").to_pylist()
-        sets_ = [np.asarray(s.values.to_numpy()) for s in table.column("set")]
+        values, first = sets_in(table.column("payload").chunk(0))
+        sets_ = [values[a:b] for a, b in zip(first[:-1], first[1:])]
         mine, theirs = np.flatnonzero(own == p), np.flatnonzero(own != p)
         if not len(theirs) and table.column("q")[0].as_py() == p:
             theirs = mine
@@ -134,14 +188,13 @@ def large_links(company: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return tuned(dealt).groupBy("key", "p", "q").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
-def links(buckets: DataFrame, sets_of, percent: int, sized: bool = True) -> DataFrame:
-    """Links of all buckets; `sets_of(ids)` gives the full sets (`id`, `items`) of the ids that
-    share a bucket with another. With `sized`, `n` is the exact size of the set and parts pairs
-    that are too unequal; otherwise it is an upper bound that only cuts blocks."""
-    company = buckets_with_company(buckets)
-    ids = stored(company.select("id").distinct(), "ids")
-    sets = stored(sets_of(F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids), "sets")
-    size_fits = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)") if sized else F.lit(True)
-    enough = F.expr(f"100 * both >= {percent} * (na + nb - both)")
-    small = verified(small_pairs(company, size_fits), sets, enough)
-    return stored(small.unionByName(large_links(company, sets, percent)), "links")
+def links(buckets: DataFrame, payload_of, percent: int, decode: Decode | None = None) -> DataFrame:
+    """Links of all buckets, whose ids are whole numbers; an id is in a bucket once.
+    `payload_of(ids)` gives `id` and `payload` of the ids that share a bucket with another."""
+    few, company = split_buckets(buckets)
+    few = stored(few.unionByName(small_pairs(company)).distinct(), "pairs")
+    ids = few.select(F.col("a").alias("id")).unionByName(few.select(F.col("b").alias("id")))
+    ids = stored(ids.unionByName(company.select("id")).distinct(), "ids")
+    payloads = stored(payload_of(bounded(ids)), "payloads")
+    exact = verified(few, payloads, percent, decode)
+    return stored(exact.unionByName(large_links(company, payloads, percent, decode)), "links")
