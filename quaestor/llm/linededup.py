@@ -49,7 +49,7 @@ def _shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer((b"\n".join(lines) + b"\n").decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
     ends = np.flatnonzero(codes == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
-    rolling = Rolling(mix(codes + np.uint64(1)))
+    rolling = Rolling(codes + np.uint64(1))
     grams = rolling.grams(SHINGLE)
     # positions whose shingle ends inside their line; a short line has its whole text instead
     inside = np.ones(len(grams) + 1, bool)
@@ -71,18 +71,19 @@ def signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(n), np.diff(first))
     bins = ((values >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64)
     least = np.full(n * _BINS, _TOP, np.uint64)
-    np.minimum.at(least, owner * _BINS + bins, mix(values))
+    # inside a bin the high bits are alike and the rest decides
+    np.minimum.at(least, owner * _BINS + bins, values)
     least = least.reshape(n, _BINS)
-    empty = least == _TOP
-    if empty.any():
-        source = least
-        for k in range(1, _BINS):
-            borrowed = np.roll(source, -k, axis=1)
-            take = empty & (borrowed != _TOP)
-            least = np.where(take, mix(borrowed + np.uint64(k)), least)
-            empty &= ~take
-            if not empty.any():
-                break
+    row, col = np.nonzero(least == _TOP)
+    filled = least.copy()
+    for k in range(1, _BINS):
+        borrowed = least[row, (col + k) % _BINS]
+        full = borrowed != _TOP
+        filled[row[full], col[full]] = mix(borrowed[full] + np.uint64(k))
+        row, col = row[~full], col[~full]
+        if not len(row):
+            break
+    least = filled
     parts = least.reshape(n, BANDS, ROWS)
     keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (n, 1))
     for k in range(ROWS):
@@ -150,12 +151,12 @@ def removals(docs: DataFrame) -> DataFrame:
         return map_slices(found, _chosen_lines, "id long, payload binary").dropDuplicates(["id"])
 
     joined = components(similar.links(buckets, lines_of, PERCENT, _decode))
-    # classes beyond their keeper: only those of components, and those with copies
     heads = heads.select("id", "rest", "first").join(joined, "id", "left")
-    keeper = (
-        heads.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("keeper"))
-    )
-    heads = heads.join(keeper, "component", "left").select("id", "rest", F.coalesce("keeper", "first").alias("keeper"))
+    linked = heads.where("component IS NOT NULL")
+    keeper = linked.groupBy("component").agg(F.min("first").alias("keeper"))
+    # classes without a component stay out of the join, where null would be one hot key
+    alone = heads.where("component IS NULL").select("id", "rest", F.col("first").alias("keeper"))
+    heads = linked.join(keeper, "component").select("id", "rest", "keeper").unionByName(alone)
     return (
         lines.select("id", "rest", place.alias("place"))
         .join(heads, ["id", "rest"])
