@@ -52,7 +52,7 @@ def block_join(
         )
         .persist()
     )
-    n_keys = sizes.count()
+    n_keys, cells = sizes.agg(F.count("*"), F.coalesce(F.sum(F.col("_lbs") * F.col("_rbs")), F.lit(0))).first()
     # keys are cells, buckets or length classes: few. Past the bound Spark picks the join.
     if n_keys <= max_keys:
         sizes = F.broadcast(sizes)
@@ -68,7 +68,8 @@ def block_join(
         .withColumn("_lb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lbs") - 1)))
         .drop("_lbs", "_rbs")
     )
-    return _cogroup(lhs, rhs, [key, "_lb", "_rb"], score, schema, min(n_keys, 4 * parallelism))
+    # many small keys share partitions; the blocks of a large key each have one
+    return _cogroup(lhs, rhs, [key, "_lb", "_rb"], score, schema, max(cells - n_keys, min(n_keys, 4 * parallelism)))
 
 
 def _grid(left, right, left_id, right_id, score, schema, left_rows, right_rows, parallelism):
@@ -121,18 +122,14 @@ def best_per(df: DataFrame, group: str, order: list, k: int, rank: str = "rank")
 # --- in-task top-k ------------------------------------------------------------------------
 
 
-def top_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
-    """Per row of `scores` the columns of the k best, lowest id first among equals.
-
-    `ids` must ascend. Ties at the cut are resolved exactly.
-    """
+def top_cells(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the k best of every row, best first, lowest column first among
+    equals. Ties at the cut are resolved exactly."""
     n = scores.shape[1]
-    if n <= k:
-        return [np.arange(n)] * scores.shape[0]
-    cut = np.partition(scores, n - k, axis=1)[:, n - k]
-    picked = []
-    for row, low in zip(scores, cut):
-        above = np.flatnonzero(row > low)
-        ties = np.flatnonzero(row == low)[: k - len(above)]
-        picked.append(np.concatenate([above, ties]))
-    return picked
+    least = np.partition(scores, n - k, axis=1)[:, n - k, None] if n > k else -np.inf
+    rows, cols = np.nonzero(scores >= least)
+    found = scores[rows, cols]
+    order = np.lexsort((cols, -found, rows))
+    rows, cols, found = rows[order], cols[order], found[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[kept], cols[kept], found[kept]

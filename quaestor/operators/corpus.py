@@ -70,16 +70,17 @@ def build_corpus(
 def history_pairs(
     history: DataFrame, user_role: str = "user", reply_role: str = "assistant"
 ) -> DataFrame:
-    """Pair each user turn with the reply in the next position of the same conversation.
+    """Pair each user turn with the reply in the next row of the same conversation.
 
-    `turn` is the position in the conversation, so "next" is an equality on the unique key
-    (conv_id, turn): a conversation of any length spreads over all tasks.
+    Turn numbers may have gaps: rows are numbered first, by sorted partitions, so that "next" is
+    an equality and a conversation of any length spreads over all tasks.
     """
-    asked = history.where(F.col("role") == user_role).select(
-        "conv_id", "turn", F.col("text").alias("question"), (F.col("turn") + 1).alias("_next")
+    placed = running_before(history.select("conv_id", "turn", "role", "text"), ["conv_id"], ["turn"], out="_at")
+    asked = placed.where(F.col("role") == user_role).select(
+        "conv_id", "turn", F.col("text").alias("question"), (F.col("_at") + 1).alias("_next")
     )
-    replies = history.where(F.col("role") == reply_role).select(
-        "conv_id", F.col("turn").alias("_next"), F.col("text").alias("answer")
+    replies = placed.where(F.col("role") == reply_role).select(
+        "conv_id", F.col("_at").alias("_next"), F.col("text").alias("answer")
     )
     return asked.join(replies, ["conv_id", "_next"]).drop("_next")
 

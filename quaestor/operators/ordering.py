@@ -61,16 +61,20 @@ def running_before(
         .withColumn("_offset", F.sum("_subtotal").over(earlier))
         # a partition continues at most one group, so this keeps at most one row per partition
         .where(F.col("_offset").isNotNull())
-        .select("_part", *group, "_offset")
+        # null is a group like any other
+        .select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_offset")
     )
     local = (
         Window.partitionBy("_part", *group)
         .orderBy(*[F.col(o) if isinstance(o, str) else o for o in order])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     return (
         tagged.withColumn("_local", F.coalesce(F.sum("_amount").over(local), F.lit(0)))
-        .join(F.broadcast(offsets), ["_part", *group], "left")
+        .join(F.broadcast(offsets), same, "left")
         .withColumn(out, F.col("_local") + F.coalesce("_offset", F.lit(0)))
-        .drop("_part", "_amount", "_local", "_offset")
+        .drop("_part", "_amount", "_local", "_offset", "_p", *[f"_g{i}" for i in range(len(group))])
     )

@@ -41,7 +41,8 @@ def evict(
     """
     totals = entries.groupBy(namespace).agg(F.sum("size_bytes").alias("_total"))
     over = totals.where(F.col("_total") > limit_bytes)
-    affected = entries.join(over, namespace)
+    over = over.withColumnRenamed(namespace, "_namespace")
+    affected = entries.join(over, F.col(namespace).eqNullSafe(F.col("_namespace"))).drop("_namespace")
     ranked = running_before(
         affected, [namespace], ["accessed_at", "access_count", key], "size_bytes", "_removed"
     )

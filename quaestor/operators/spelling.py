@@ -29,7 +29,6 @@ MAX_SUGGESTIONS = 5
 RULE_CONFIDENCE = 0.9
 WORD_THRESHOLD = 0.8
 TEXT_THRESHOLD = 0.7
-EXPORT_WORDS = 10_000
 
 CORRECTIONS_TYPE = (
     "array<struct<original:string,corrected:string,confidence:double,position:int,method:string>>"
@@ -65,9 +64,9 @@ def merge_dictionary(dictionary: DataFrame, added: DataFrame) -> DataFrame:
     )
 
 
-def export_vocabulary(vocabulary: DataFrame, n: int = EXPORT_WORDS) -> DataFrame:
-    """The n most frequent words, ties in word order."""
-    return vocabulary.orderBy(F.desc("freq"), F.asc("word")).limit(n)
+def export_vocabulary(vocabulary: DataFrame, n: int | None = None) -> DataFrame:
+    """All words, or the n most frequent ones, ties in word order."""
+    return vocabulary if n is None else vocabulary.orderBy(F.desc("freq"), F.asc("word")).limit(n)
 
 
 def vocabulary_stats(vocabulary: DataFrame, dictionary: DataFrame) -> DataFrame:

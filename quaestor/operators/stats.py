@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions.labels import NO_ANSWER_PHRASE
 
-# Width of a length bucket and the size tiers of the search strategies.
+# Width of a length bucket and the size tiers that `index_profile` reports.
 BUCKET_WIDTH = 50
 FLAT_FROM = 5_000
 GRAPH_FROM = 10_000
@@ -66,17 +66,8 @@ def length_buckets(corpus: DataFrame) -> DataFrame:
     )
 
 
-def strategy_for(rows: int) -> str:
-    """Search strategy by corpus size."""
-    if rows < FLAT_FROM:
-        return "brute_force"
-    if rows < GRAPH_FROM:
-        return "flat_l2"
-    return "graph" if rows < CELLS_FROM else "cells"
-
-
 def strategy_of(rows: Column) -> Column:
-    """`strategy_for` as a column."""
+    """The size tier that a report names; no search follows it."""
     return (
         F.when(rows < FLAT_FROM, "brute_force")
         .when(rows < GRAPH_FROM, "flat_l2")

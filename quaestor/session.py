@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,6 +29,8 @@ def build_session(master: str | None = None, app: str = "quaestor", **conf) -> S
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # a checkpoint goes when the driver no longer refers to it
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for key, value in settings.items():
@@ -50,16 +53,26 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: `spark.checkpoint.dir`, or a temporary one where it is unset."""
+    """The folder all executors see: `spark.checkpoint.dir`. Where it is unset, a cluster uses a
+    folder beside the warehouse, which has to be shared, and a local master a temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quaestor-"))
+        sc.setCheckpointDir(configured or _default_dir(spark))
         current = sc.getCheckpointDir()
     return configured or current
 
 
+def _default_dir(spark: SparkSession) -> str:
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
+        return tempfile.mkdtemp(prefix="quaestor-")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith("file:") or "://" not in warehouse:
+        raise ValueError("set spark.checkpoint.dir: the warehouse is a local folder, which executors may not share")
+    return f"{warehouse.rstrip('/')}/_scratch"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

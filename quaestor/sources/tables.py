@@ -66,10 +66,12 @@ def read_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/manifest")
 
 
-def write_dictionary(dictionary: DataFrame, vocabulary: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """The accepted words and the most frequent learned words."""
+def write_dictionary(
+    dictionary: DataFrame, vocabulary: DataFrame, path: str, fmt: str = "parquet", n: int | None = None
+) -> None:
+    """The accepted words and the learned words (the `n` most frequent ones, if given)."""
     dictionary.select("word").distinct().write.mode("overwrite").format(fmt).save(f"{path}/accepted")
-    export_vocabulary(vocabulary).write.mode("overwrite").format(fmt).save(f"{path}/vocabulary")
+    export_vocabulary(vocabulary, n).write.mode("overwrite").format(fmt).save(f"{path}/vocabulary")
 
 
 def read_dictionary(spark: SparkSession, path: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:

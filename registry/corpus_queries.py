@@ -289,11 +289,11 @@ def domain_terms(spark, sf):
 
 @query(
     f"""WITH {_VOCAB} SELECT word FROM vocab WHERE freq >= 3 AND length(word) > 4
-UNION SELECT lower(split_part(p_name, ' ', 1)) FROM part UNION SELECT lower(p_brand) FROM part"""
+UNION SELECT lower(unnest(string_split(p_name, ' '))) FROM part UNION SELECT lower(p_brand) FROM part"""
 )
 def dictionary_merge(spark, sf):
     part = i.table(spark, sf, "part")
-    user_words = part.select(F.split("p_name", " ")[0].alias("word")).unionByName(
+    user_words = part.select(F.explode(F.split("p_name", " ")).alias("word")).unionByName(
         part.select(F.col("p_brand").alias("word"))
     )
     return sp.merge_dictionary(sp.domain_terms(i.vocabulary(spark, sf)), user_words)
@@ -302,7 +302,7 @@ def dictionary_merge(spark, sf):
 @query(
     f"""WITH {_VOCAB} SELECT 'accepted' AS kind, word, NULL::BIGINT AS freq FROM vocab
 WHERE freq >= 3 AND length(word) > 4
-UNION ALL SELECT 'vocabulary', word, freq FROM (SELECT * FROM vocab ORDER BY freq DESC, word LIMIT 10000)"""
+UNION ALL SELECT 'vocabulary', word, freq FROM vocab"""
 )
 def dictionary_export(spark, sf):
     path = scratch_path(spark, "dictionary")

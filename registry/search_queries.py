@@ -185,14 +185,14 @@ def knn_l2(spark, sf):
 @query(_knn_sql(i.VECTORS, 5, l2=True))
 def knn_ivf(spark, sf):
     """All cells probed: the exact result."""
-    index = ve.build_cells(i.vectors(spark, sf), max_iter=2)
+    index = ve.build_cells(i.vectors(spark, sf))
     return _matches(ve.knn_cells(i.mixed_vectors(spark, sf), index, 5, probes=index.cells))
 
 
 @query()
 def knn_ivf_probes(spark, sf):
     """The default number of probes: approximate."""
-    index = ve.build_cells(i.vectors(spark, sf), max_iter=2)
+    index = ve.build_cells(i.vectors(spark, sf))
     return _matches(ve.knn_cells(i.mixed_vectors(spark, sf), index, 5))
 
 
@@ -203,7 +203,7 @@ def knn_lsh(spark, sf):
 
 @query(_knn_sql(i.VECTORS, 3))
 def search_auto(spark, sf):
-    """Below 5,000 vectors the choice is brute force."""
+    """The default strategy: exact at every size."""
     return _matches(ve.search(i.mixed_vectors(spark, sf), i.vectors(spark, sf), 3))
 
 
@@ -251,37 +251,27 @@ def best_match(spark, sf):
     )
 
 
-# texts of varying length over the vectors, so that full, small and empty ranges occur
-_BUCKETED = f"""{i.VECTORS},
-doc AS (SELECT e.vec_id AS id, length(d.text) // 50 AS b FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
-asked AS (SELECT q.id, q.v, length(d.text) AS n FROM q JOIN documents d ON d.doc_id = q.id),
-tol AS (SELECT *, greatest(50, n // 3) AS tol FROM asked),
-span AS (SELECT id, v, greatest(0, floor((n - tol) / 50.0))::BIGINT AS lo, floor((n + tol) / 50.0)::BIGINT AS hi FROM tol),
-inside AS (
-  SELECT id, v, faq_id, nth FROM (
-    SELECT s.id, s.v, d.id AS faq_id, row_number() OVER (PARTITION BY s.id ORDER BY d.b, d.id) AS nth
-    FROM span s JOIN doc d ON d.b BETWEEN s.lo AND s.hi) WHERE nth <= 5000),
-cand AS (
-  SELECT * FROM inside
-  UNION ALL SELECT s.id, s.v, d.id, row_number() OVER (PARTITION BY s.id ORDER BY d.id)
-  FROM span s CROSS JOIN (SELECT id FROM doc ORDER BY id LIMIT 5000) d
-  WHERE s.id NOT IN (SELECT id FROM inside)),
-sized AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM cand),
-scored AS (SELECT q.id, faq_id, nth, CASE WHEN n < 10 THEN 0.0 ELSE round({i.COSINE}, 12) END AS s
-           FROM sized q JOIN c ON c.id = q.faq_id)"""
+_BUCKETED = f"""{_TURNS}, {i.embed_sql('c', 'documents', 'doc_id', 'text')}, {i.embed_sql('q', 'turns', 'query_id', 'query')},
+doc AS (SELECT doc_id AS faq_id, length(text) // 50 AS b FROM documents),
+tol AS (SELECT query_id, length(query) AS n, greatest(50, length(query) // 3) AS tol FROM turns),
+span AS (SELECT query_id, greatest(0, floor((n - tol) / 50.0))::BIGINT AS lo, floor((n + tol) / 50.0)::BIGINT AS hi FROM tol),
+inside AS (SELECT s.query_id, d.faq_id FROM span s JOIN doc d ON d.b BETWEEN s.lo AND s.hi),
+cand AS (SELECT * FROM inside UNION ALL
+  SELECT s.query_id, d.faq_id FROM span s CROSS JOIN doc d WHERE s.query_id NOT IN (SELECT query_id FROM inside)),
+scored AS (SELECT query_id, faq_id, round({i.COSINE}, 12) AS s
+           FROM cand JOIN q ON q.id = cand.query_id JOIN c ON c.id = cand.faq_id)"""
 
 
 @query(
     f"""WITH {_BUCKETED}
-SELECT id AS query_id, rank, faq_id, round(s, 6) AS similarity FROM (
-  SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, nth) AS rank FROM scored) WHERE rank <= 10"""
+SELECT query_id, rank, faq_id, round(s, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, faq_id) AS rank FROM scored) WHERE rank <= 10"""
 )
 def length_bucket_search(spark, sf):
+    """For every user turn the ten nearest documents of similar length."""
     docs = i.table(spark, sf, "documents").select(F.col("doc_id").alias("faq_id"), F.col("text").alias("question"))
-    corpus = i.vectors(spark, sf).join(docs, "faq_id")
-    asked = i.mixed_vectors(spark, sf).join(
-        docs.select(F.col("faq_id").alias("query_id"), F.col("question").alias("query")), "query_id"
-    )
+    corpus = em.embed(docs, "question", i.ENCODER)
+    asked = em.embed_queries(i.user_turns(spark, sf), i.ENCODER)
     return _matches(ve.length_bucket_search(asked, corpus, 10))
 
 
@@ -320,11 +310,9 @@ ratio AS (SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0
 """
 
 
-def _fuzzy_sql(cap: int | None) -> str:
-    limit = f"QUALIFY row_number() OVER (PARTITION BY query ORDER BY faq_id) <= {cap}" if cap else ""
-    return f"""WITH RECURSIVE {_NAMES},
+_FUZZY_SQL = f"""WITH RECURSIVE {_NAMES},
 cand AS (SELECT t.query, p.faq_id, p.question FROM texts t JOIN p
-         ON abs(length(p.question) - length(t.query)) <= greatest(30, length(t.query) // 2) {limit}),
+         ON abs(length(p.question) - length(t.query)) <= greatest(30, length(t.query) // 2)),
 scored_text AS (SELECT DISTINCT {_sorted_sql('query')} AS a, {_sorted_sql('question')} AS b FROM cand), {_LCS},
 best AS (SELECT c.query, c.faq_id, r.score FROM cand c JOIN ratio r
          ON r.a = {_sorted_sql('c.query')} AND r.b = {_sorted_sql('c.question')} WHERE r.score >= 70
@@ -334,22 +322,19 @@ SELECT query_id, rank, faq_id, score FROM (
          b.faq_id, b.score FROM asked a JOIN best b ON b.query = a.query)"""
 
 
-def _fuzzy(spark, sf, cap):
+@query(_FUZZY_SQL)
+def fuzzy_match(spark, sf):
+    """All candidates of similar length, at every size."""
     corpus, asked = i.short_names(spark, sf)
-    return fz.fuzzy_match(asked, corpus, max_candidates=cap).select(
+    return fz.fuzzy_match(asked, corpus).select(
         "query_id", F.col("rank").cast("long").alias("rank"), "faq_id", "score"
     )
 
 
-@query(_fuzzy_sql(1000))
-def fuzzy_match(spark, sf):
-    """The first 1,000 candidates in corpus order, the operator's own rule."""
-    return _fuzzy(spark, sf, 1000)
-
-
-@query(_fuzzy_sql(None))
+@query(_FUZZY_SQL)
 def fuzzy_match_whole_corpus(spark, sf):
-    return _fuzzy(spark, sf, None)
+    """The same under the name it had beside a capped query."""
+    return fuzzy_match(spark, sf)
 
 
 # --- the cascade --------------------------------------------------------------------------

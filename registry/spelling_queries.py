@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from quaestor import schemas
@@ -16,6 +18,8 @@ from registry import inputs as i
 from registry.corpus_queries import _HITS_SQL, r6
 from registry.search_queries import _TEXT_SEARCH
 
+SLICE_ROWS = 1_000_000
+
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -178,16 +182,19 @@ def apply_corrections(spark, sf):
 # --- streaming ----------------------------------------------------------------------------
 
 
-def _drain(stream, seconds: int = 600) -> None:
-    if not stream.awaitTermination(seconds):
-        stream.stop()
-        raise TimeoutError("stream did not drain")
+def _drain(stream) -> None:
+    stream.awaitTermination()
 
 
 def _as_files(df, order: str, files: int = 4) -> str:
-    """The table as several files in order, so that a file stream has several batches."""
+    """The table as several files in order, so that a file stream has several batches.
+
+    A slice is one file, as a stream takes whole files in the order of their writing; large
+    tables give more slices, of about SLICE_ROWS rows.
+    """
     path = scratch_path(df.sparkSession, "stream")
-    for n, part in enumerate(_slices(df, order, files)):
+    files = max(files, math.ceil(df.count() / SLICE_ROWS))
+    for part in _slices(df, order, files):
         part.coalesce(1).write.mode("append").parquet(path)
     return path
 
@@ -262,4 +269,5 @@ def stream_usage_stats(spark, sf):
     out = scratch_path(spark, "usage")
     stream = jobs.read_files(spark, source, labelled.schema)
     _drain(jobs.usage_stream(stream, out, scratch_path(spark, "state")))
-    return spark.read.parquet(out)
+    versions = spark.read.parquet(out)
+    return versions.join(versions.agg(F.max("version").alias("version")), "version", "left_semi").drop("version")

@@ -109,6 +109,10 @@ def test_history_pairs_and_append(spark):
     )
     pairs = co.history_pairs(talk).select("conv_id", "turn", "question", "answer")
     assert rows(pairs, "conv_id") == [(1, 1, "q1", "a1"), (2, 1, "q4", "a4")]
+    gaps = spark.createDataFrame(
+        [(1, 0, "user", "q"), (1, 2, "assistant", "a"), (None, 1, "user", "n"), (None, 5, "assistant", "m")], talk.schema
+    )
+    assert {(r.question, r.answer) for r in co.history_pairs(gaps).collect()} >= {("q", "a")}
     new = spark.createDataFrame(
         [(1, 7, "x", "X"), (1, 8, "y", "Y"), (3, 9, "z", "Z")],
         "conv_id long, query_id long, question string, response string",

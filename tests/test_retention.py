@@ -82,3 +82,22 @@ def test_first_access_of_equal_times_is_the_miss(spark):
     df = df.select("event_id", "key", F.timestamp_seconds("s").alias("ts"))
     got = {r.event_id: r.hit for r in rt.label_accesses(df, 10).collect()}
     assert got == {1: False, 2: True, 3: True, 4: False}
+
+
+def test_late_rows_come_out(spark):
+    """Files out of order: a key that was never seen is new, however late its file."""
+    source, schema = scratch_path(spark, "late"), "event_id long, key string, s long"
+    for rows in ([(1, "a", 5000)], [(2, "b", 9000)], [(3, "c", 100)]):
+        df = spark.createDataFrame(rows, schema).select("event_id", "key", F.timestamp_seconds("s").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(source)
+    out = scratch_path(spark, "out")
+    stream = jobs.suppress_repeats(jobs.read_files(spark, source, schemas.ACCESS), out, scratch_path(spark, "state"), 60)
+    assert stream.awaitTermination(300)
+    assert {r.event_id for r in spark.read.parquet(out).collect()} == {1, 2, 3}
+
+
+def test_null_namespaces_are_a_group(spark):
+    rows = [(None, f"k{n}", n, 1, 10) for n in range(10)] + [("x", "k", 0, 1, 10)]
+    entries = spark.createDataFrame(rows, "namespace string, key string, accessed_at long, access_count long, size_bytes long")
+    gone = rt.evict(entries, 50).collect()
+    assert sorted(r.key for r in gone) == [f"k{n}" for n in range(6)]

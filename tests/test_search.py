@@ -10,9 +10,8 @@ from quaestor.functions.strings import indel_score
 from quaestor.operators import embed as em
 from quaestor.operators import fuzzy as fz
 from quaestor.operators import spelling as sp
-from quaestor.operators import stats
 from quaestor.operators import vectors as ve
-from quaestor.operators.blocks import top_rows
+from quaestor.operators.blocks import top_cells
 from quaestor.plans.cascade import Knowledge, answer, guard
 from quaestor.plans.pipeline import build_knowledge
 
@@ -72,23 +71,51 @@ def test_cells_with_all_probes_are_exact_and_fewer_are_a_subset(cloud):
     assert recall > 0.6
 
 
-def test_lsh_scores_are_exact_scores(cloud):
-    corpus, asked = cloud
-    every = {(q, f): s for q, _, f, s in matches(ve.knn_l2(asked, corpus, 300))}
+def test_hashing_finds_clustered_vectors_among_few_pairs(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (60, 32))
+    vectors = (centres[rng.integers(0, 60, 3000)] + rng.normal(0, 0.15, (3000, 32))).tolist()
+    corpus, asked = corpus_of(spark, vectors), queries_of(spark, vectors[:100])
+    exact = matches(ve.knn_l2(asked, corpus, 5))
+    every = {(q, f): s for q, _, f, s in matches(ve.knn_l2(asked, corpus, 3000))}
     found = matches(ve.knn_lsh(asked, corpus, 5))
-    assert found and all(every[q, f] == s for q, _, f, s in found)
+    assert all(every[q, f] == pytest.approx(s) for q, _, f, s in found)
+    assert len({(q, f) for q, _, f, _ in found} & {(q, f) for q, _, f, _ in exact}) >= 0.9 * len(exact)
+    bits, tables = ve.hash_layout(3000)
+    planes = np.random.default_rng(0).normal(0, 1, (tables, bits, 32))
+    pairs = ve._sign_buckets(asked, "query_id", planes).drop("embedding").join(
+        ve._sign_buckets(corpus, "faq_id", planes).drop("embedding"), "bucket"
+    )
+    assert pairs.select("query_id", "faq_id").distinct().count() < 0.1 * 100 * 3000
 
 
-def test_search_strategies():
-    assert [stats.strategy_for(n) for n in (4999, 5000, 9999, 10000, 99999, 100000)] == [
-        "brute_force", "flat_l2", "flat_l2", "graph", "graph", "cells"
-    ]
+def test_hashing_answers_lonely_queries_exactly(cloud):
+    corpus, asked = cloud
+    assert matches(ve.knn_lsh(asked, corpus, 5, bits=40, tables=1)) == matches(ve.knn_l2(asked, corpus, 5))
+
+
+def test_search_is_exact_at_every_size(spark):
+    """12,000 short vectors: negative similarities stay, nothing is left out."""
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(0, 1, (12_000, 4))
+    asked = rng.normal(0, 1, (8, 4))
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    cos = np.round(unit(asked) @ unit(vectors).T, 12)
+    got = ve.search(queries_of(spark, asked.tolist()), corpus_of(spark, vectors.tolist()), 3).collect()
+    want = {(q, n + 1, int(c)) for q in range(8) for n, c in enumerate(np.lexsort((np.arange(12_000), -cos[q]))[:3])}
+    # the rows are stored as float
+    assert len({(r.query_id, r["rank"], r.faq_id) for r in got} & want) >= 23
+    opposite = ve.best_match(queries_of(spark, [(-1.0, 0.0)]), corpus_of(spark, [(1.0, 0.0)])).first()
+    assert opposite.similarity == -1.0
+    with pytest.raises(ValueError):
+        ve.search(queries_of(spark, [(1.0, 0.0)]), corpus_of(spark, [(1.0, 0.0)]), strategy="auto")
     assert ve.default_cells(400) == 100 and ve.default_cells(40000) == 200
 
 
-def test_top_rows_resolves_ties():
-    picked = top_rows(np.array([[1.0, 3, 2, 2, 2, 0]]), np.arange(6), 3)
-    assert picked[0].tolist() == [1, 2, 3]
+def test_top_cells_resolves_ties():
+    rows, cols, found = top_cells(np.array([[1.0, 3, 2, 2, 2, 0], [5, 5, 5, 5, 5, 5]]), 3)
+    assert rows.tolist() == [0, 0, 0, 1, 1, 1] and cols.tolist() == [1, 2, 3, 0, 1, 2]
+    assert found.tolist() == [3, 2, 2, 5, 5, 5]
 
 
 def test_threshold_is_inclusive(spark):
@@ -122,15 +149,15 @@ def test_length_buckets_fallback_and_unscored(spark):
         [(0, "y" * 40, [1.0, 0.0]), (1, "y" * 2000, [1.0, 0.0])],
         "query_id long, query string, embedding array<float>",
     )
-    # length 40: buckets 0 and 1 hold ids 0, 1, 2; length 2000: nothing near, so the first of all
+    # length 40: buckets 0 and 1 hold ids 0, 1, 2; length 2000: nothing near, so the whole corpus
     got = matches(ve.length_bucket_search(asked, corpus, 2))
-    assert [(q, f) for q, _, f, _ in got] == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    assert [q for q, _, _, _ in got] == [0, 0, 1, 1] and {f for q, _, f, _ in got if q == 0} <= {0, 1, 2}
     few = matches(ve.length_bucket_search(asked.where("query_id = 0"), corpus, 4))
-    assert few == [(0, 1, 0, 0.0), (0, 2, 1, 0.0), (0, 3, 2, 0.0)]
+    assert {f for _, _, f, _ in few} == {0, 1, 2} and all(s != 0.0 for _, _, _, s in few)
 
 
-def test_length_bucket_cap(spark):
-    """Against a walk over buckets and positions, with a small cap."""
+def test_length_buckets_score_every_candidate(spark):
+    """Against a walk over buckets."""
     rng = random.Random(2)
     questions = [(n, "x" * rng.randrange(1, 400), [rng.random(), rng.random()]) for n in range(120)]
     asked = [(n, "y" * size, [rng.random(), rng.random()]) for n, size in enumerate([5, 60, 149, 150, 153, 390, 3000])]
@@ -138,7 +165,7 @@ def test_length_bucket_cap(spark):
     for q, text, v in asked:
         slack = max(50, len(text) // 3)
         span = range(max(0, (len(text) - slack) // 50), (len(text) + slack) // 50 + 1)
-        near = [c for b in span for c in questions if len(c[1]) // 50 == b][:15] or questions[:15]
+        near = [c for b in span for c in questions if len(c[1]) // 50 == b] or questions
         cos = lambda c: np.dot(c[2], v) / np.linalg.norm(c[2]) / np.linalg.norm(v)
         best = sorted(near, key=cos, reverse=True)[:4]
         want |= {(q, n, c[0]) for n, c in enumerate(best, 1)}
@@ -147,7 +174,6 @@ def test_length_bucket_cap(spark):
         spark.createDataFrame(asked, f"query_id long, query string, {schema}"),
         spark.createDataFrame(questions, f"faq_id long, question string, {schema}"),
         4,
-        max_candidates=15,
     ).collect()
     assert {(r.query_id, r["rank"], r.faq_id) for r in got} == want
 
@@ -186,20 +212,25 @@ def test_fuzzy_brute_force(spark):
     def sort_key(text):
         return " ".join(sorted(text.split()))
 
-    for cap in (20, None):
-        want = set()
-        for q, text in enumerate(asked):
-            if not text:
-                continue
-            near = [
-                (i, x) for i, x in enumerate(questions)
-                if abs(len(x) - len(text)) <= max(30, len(text) // 2)
-            ][:cap]
-            hits = [(indel_score(sort_key(text.replace("!", " ")), sort_key(x)), i) for i, x in near]
-            hits = sorted((h for h in hits if h[0] >= 70), key=lambda h: (-h[0], h[1]))[:5]
-            want |= {(q, n, i, s) for n, (s, i) in enumerate(hits, 1)}
-        got = fz.fuzzy_match(queries, corpus, max_candidates=cap).collect()
-        assert {(r.query_id, r["rank"], r.faq_id, r.score) for r in got} == want
+    want = set()
+    for q, text in enumerate(asked):
+        if not text:
+            continue
+        near = [(i, x) for i, x in enumerate(questions) if abs(len(x) - len(text)) <= max(30, len(text) // 2)]
+        hits = [(indel_score(sort_key(text.replace("!", " ")), sort_key(x)), i) for i, x in near]
+        hits = sorted((h for h in hits if h[0] >= 70), key=lambda h: (-h[0], h[1]))[:5]
+        want |= {(q, n, i, s) for n, (s, i) in enumerate(hits, 1)}
+    got = fz.fuzzy_match(queries, corpus).collect()
+    assert {(r.query_id, r["rank"], r.faq_id, r.score) for r in got} == want
+
+
+def test_fuzzy_match_at_the_end_of_many(spark):
+    rng = random.Random(4)
+    questions = ["".join(rng.choices("abcdefgh ", k=60)) for _ in range(2000)] + ["the only question that can match at all"]
+    corpus = spark.createDataFrame(list(enumerate(questions)), "faq_id long, question string")
+    asked = spark.createDataFrame([(1, "match at all the only question that can")], "query_id long, query string")
+    best = fz.fuzzy_match(asked, corpus, k=1).first()
+    assert (best.faq_id, best.score) == (2000, 100)
 
 
 def test_fuzzy_length_gap(spark):
@@ -359,8 +390,8 @@ def test_cascade_stages(spark):
     assert 6 not in got
 
 
-@pytest.mark.parametrize("size, stage", [(299, "fuzzy"), (300, "none")])
-def test_fuzzy_length_limit(spark, size, stage):
+@pytest.mark.parametrize("limit, size, stage", [(300, 299, "fuzzy"), (300, 300, "none"), (None, 350, "fuzzy")])
+def test_fuzzy_length_limit(spark, limit, size, stage):
     question = ("abcdefgh " * 40)[:size]
     corpus = spark.createDataFrame(
         [(0, question, "the answer", [1.0, 0.0])],
@@ -374,15 +405,15 @@ def test_fuzzy_length_limit(spark, size, stage):
             return np.tile([0.0, 1.0], (len(texts), 1))
 
     empty = vocab_of(spark, {"none": 1}).where("false")
-    known = Knowledge(corpus, empty.select("word"), empty, Blind(), max_rounds=0)
+    known = Knowledge(corpus, empty.select("word"), empty, Blind(), fuzzy_below=limit)
     asked = spark.createDataFrame([(1, question)], "query_id long, query string")
     # strip may shorten a trailing blank: compare on the stripped length
     assert len(question.strip()) == size
     assert answer(asked, known).first().stage == stage
 
 
-@pytest.mark.parametrize("size, stage", [(199, "spell_semantic"), (200, "none")])
-def test_spelling_length_limit(spark, size, stage):
+@pytest.mark.parametrize("limit, size, stage", [(200, 199, "spell_semantic"), (200, 200, "none"), (None, 349, "spell_semantic")])
+def test_spelling_length_limit(spark, limit, size, stage):
     """One misspelt word makes the encoder miss; correcting it finds the question."""
     tail = (" abcdefgh" * 40)[: size - len("recieve")]
     good = ("receive" + tail).strip()
@@ -398,7 +429,45 @@ def test_spelling_length_limit(spark, size, stage):
         "faq_id long, question string, answer string, embedding array<float>",
     )
     words = words_of(spark, ["receive", *set(good.split())])
-    known = Knowledge(corpus, words, vocab_of(spark, {"receive": 5}), Exact(), max_rounds=1)
+    known = Knowledge(corpus, words, vocab_of(spark, {"receive": 5}), Exact(), spell_below=limit)
     asked = spark.createDataFrame([(1, "recieve" + tail)], "query_id long, query string")
     assert len(("recieve" + tail).strip()) == size
     assert answer(asked, known).first().stage == stage
+
+
+def test_correction_goes_on_until_nothing_is_new(spark):
+    """Each round repairs one step of a chain of six words; a circle ends as well."""
+    words = ["abcdefghij", "abcdefghik", "abcdefghlk", "abcdefgmlk", "abcdefnmlk", "abcdeonmlk"]
+
+    class Last:
+        name, dim = "last", 2
+
+        def encode(self, texts, normalize=True):
+            return np.array([[1.0, 0.0] if t == words[-1] else [0.0, 1.0] for t in texts])
+
+    corpus = spark.createDataFrame(
+        [(0, "zzzz", "the answer", [1.0, 0.0])], "faq_id long, question string, answer string, embedding array<float>"
+    )
+    checker = spark.createDataFrame([(a, b, 0) for a, b in zip(words, words[1:])], "word string, suggestion string, position int")
+    none = vocab_of(spark, {"none": 1}).where("false")
+    known = Knowledge(corpus, none.select("word"), none, Last(), checker=checker)
+    asked = spark.createDataFrame([(1, words[0])], "query_id long, query string")
+    got = answer(asked, known).first()
+    assert (got.stage, got.answer) == ("spell_semantic", "the answer")
+    circle = checker.where(F.col("suggestion") != words[-1]).unionByName(
+        spark.createDataFrame([(words[1], words[0], 0), (words[3], words[2], 0)], checker.schema)
+    )
+    assert answer(asked, Knowledge(corpus, none.select("word"), none, Last(), checker=circle)).first().stage == "none"
+
+
+def test_two_factories_of_one_name(spark):
+    class Constant:
+        def __init__(self, value):
+            self.name, self.dim, self.value = "constant", 1, value
+
+        def encode(self, texts, normalize=True):
+            return np.full((len(texts), 1), self.value)
+
+    one, two = (lambda: Constant(1.0)), (lambda: Constant(2.0))
+    texts = spark.createDataFrame([(1, "x")], "id long, text string").coalesce(1)
+    assert [em.embed(texts, "text", f).first().embedding[0] for f in (one, two)] == [1.0, 2.0]
