@@ -132,10 +132,10 @@ def lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about SLICE_BYTES of text; a longer text is alone."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    run = np.cumsum(sizes.astype(np.int64)) // SLICE_BYTES
+def slices(batch: pa.RecordBatch, *texts: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about `limit` bytes of text; a longer text is alone."""
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(t)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts)
+    run = np.cumsum(sizes) // limit
     cuts = np.flatnonzero(np.diff(run)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
         if b > a:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.arrays import tuned
+from quaestor.llm.arrays import slices, tuned
 from quaestor.llm.graph import stored
 
 SMALL = 12
@@ -33,6 +33,7 @@ BLOCK_MEMBERS = 512
 BLOCK_ITEMS = 400_000  # shingles in a block, about
 IDS_BROADCAST = 500_000
 COLUMNS = 4_096  # of the matrix at a time
+PAIR_BYTES = 256 << 10  # payloads of the pairs decoded at a time
 
 Decode = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -93,17 +94,19 @@ def verified(pairs: DataFrame, payloads: DataFrame, percent: int, decode: Decode
     kind = pairs.schema["a"].dataType.simpleString()
 
     def check(batches):
-        for batch in batches:
-            (xs, fx), (ys, fy) = decode(batch.column("xs")), decode(batch.column("ys"))
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = xs[fx[i] : fx[i + 1]], ys[fy[i] : fy[i + 1]]
+        for part in (p for batch in batches for p in slices(batch, "xs", "ys", limit=PAIR_BYTES)):
+            # a payload that meets many others is decoded once
+            coded = pa.concat_arrays([part.column("xs"), part.column("ys")]).dictionary_encode()
+            values, first = decode(coded.dictionary)
+            at, keep = coded.indices.to_numpy(), []
+            for i in range(part.num_rows):
+                x, y = (values[first[k] : first[k + 1]] for k in (at[i], at[i + part.num_rows]))
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return tuned(joined.select("a", "b", "xs", "ys")).mapInArrow(check, f"a {kind}, b {kind}")
 
