@@ -92,12 +92,23 @@ def append_history(
     reply_role: str = "assistant",
 ) -> DataFrame:
     """Append question and response of each exchange (conv_id, query_id, question, response)."""
+    added = new_turns(history, exchanges, user_role, reply_role)
+    return history.select("conv_id", "turn", "role", "text").unionByName(added)
+
+
+def new_turns(
+    history: DataFrame,
+    exchanges: DataFrame,
+    user_role: str = "user",
+    reply_role: str = "assistant",
+) -> DataFrame:
+    """The turns that the exchanges add after those of `history`."""
     last = history.groupBy("conv_id").agg(F.max("turn").alias("_last"))
     placed = running_before(exchanges, ["conv_id"], ["query_id"], out="_nth")
     placed = placed.join(last, "conv_id", "left").withColumn(
         "_base", F.coalesce("_last", F.lit(-1)) + 1 + 2 * F.col("_nth")
     )
-    added = placed.select(
+    return placed.select(
         "conv_id",
         F.inline(
             F.array(
@@ -114,4 +125,3 @@ def append_history(
             )
         ),
     )
-    return history.select("conv_id", "turn", "role", "text").unionByName(added)

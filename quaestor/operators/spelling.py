@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.functions import text as tx
-from quaestor.functions.strings import LetterBags, LetterCodes, char_masks, lcs_length
+from quaestor.functions.strings import LetterBags, LetterCodes, char_masks, indel_score, lcs_length
 from quaestor.operators.blocks import best_per, block_join
 from quaestor.session import cut
 
@@ -254,9 +254,21 @@ def suggest(
     ).select("word", "rank", "suggestion", "freq", "ratio")
 
 
-def confidence(pairs: DataFrame, original: str = "word", suggestion: str = "suggestion") -> DataFrame:
-    """Edit confidence of a table of pairs."""
-    return pairs.withColumn("confidence", tx.edit_confidence(F.col(original), F.col(suggestion)))
+def confidence(
+    pairs: DataFrame, original: str = "word", suggestion: str = "suggestion", method: str = "edit"
+) -> DataFrame:
+    """Confidence of a table of pairs: `edit` distance, or the `ratio` of the common subsequence
+    to both lengths, in whole percent."""
+    if method == "edit":
+        return pairs.withColumn("confidence", tx.edit_confidence(F.col(original), F.col(suggestion)))
+    if method != "ratio":
+        raise ValueError(f"unknown confidence {method!r}")
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([indel_score(x, y) / 100.0 for x, y in zip(a, b)], dtype="float64")
+
+    return pairs.withColumn("confidence", ratio(F.col(original), F.col(suggestion)))
 
 
 def correct_unknown(

@@ -46,3 +46,20 @@ ACCESS = T.StructType(
         T.StructField("ts", T.TimestampType()),
     ]
 )
+
+HISTORY = T.StructType(
+    [
+        T.StructField("conv_id", T.LongType()),
+        T.StructField("turn", T.LongType()),
+        T.StructField("role", T.StringType()),
+        T.StructField("text", T.StringType()),
+    ]
+)
+
+CHAT_QUERY = T.StructType(
+    [
+        T.StructField("conv_id", T.LongType()),
+        T.StructField("query_id", T.LongType()),
+        T.StructField("query", T.StringType()),
+    ]
+)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor import schemas
-from quaestor.operators.embed import manifest
+from quaestor.operators.embed import manifest, validate
 from quaestor.operators.spelling import export_vocabulary
 
 REUSE_SHARE = 0.8  # fixed value: a snapshot may fall this far short of what was expected
@@ -66,6 +66,21 @@ def read_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/manifest")
 
 
+def load_vectors(
+    spark: SparkSession, path: str, rows: int, dim: int, model: str, dataset: str, position: str = "key"
+) -> DataFrame | None:
+    """The stored vectors, if they pass `validate` for `rows` texts, cut to the first `rows` under
+    `position` where there are a few more; None if they have to be made again."""
+    vectors, described = read_vectors(spark, path)
+    stored = described.select("model_name", "dataset_name").first()
+    if stored is None:
+        return None
+    status = validate(vectors, rows, dim, stored["model_name"], model, stored["dataset_name"], dataset).first()["status"]
+    if status == "truncate":
+        return vectors.orderBy(position).limit(rows)
+    return vectors if status == "ok" else None
+
+
 def write_dictionary(
     dictionary: DataFrame, vocabulary: DataFrame, path: str, fmt: str = "parquet", n: int | None = None
 ) -> None:

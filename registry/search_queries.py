@@ -337,6 +337,21 @@ def fuzzy_match_whole_corpus(spark, sf):
     return fuzzy_match(spark, sf)
 
 
+@query(
+    f"""WITH RECURSIVE {_NAMES},
+scored_text AS (SELECT DISTINCT a.query AS a, p.question AS b FROM asked a JOIN p ON p.p_partkey = a.query_id), {_LCS}
+SELECT a AS word, b AS suggestion, round(score / 100.0::DOUBLE, 6) AS confidence FROM ratio"""
+)
+def correction_confidence_ratio(spark, sf):
+    """The ratio form of the correction confidence, on part names and their misspellings."""
+    corpus, asked = i.short_names(spark, sf)
+    numbered = corpus.select("p_partkey", F.col("question").alias("suggestion"))
+    pairs = asked.select(F.col("query_id").alias("p_partkey"), F.col("query").alias("word")).join(numbered, "p_partkey")
+    return sp.confidence(pairs.select("word", "suggestion").distinct(), method="ratio").select(
+        "word", "suggestion", r6("confidence")
+    )
+
+
 # --- the cascade --------------------------------------------------------------------------
 
 

@@ -8,8 +8,6 @@ import __spark_entry__ as registered
 from tools.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-# run by their own tests or by tools/check.py; too slow for the unit suite
-SLOW = {"answer_cascade", "correct_words", "stream_repeat_suppress", "knn_ivf_probes"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -19,7 +17,7 @@ def db():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(registered.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(registered.queries()))
 def test_query(spark, db, name):
     rows = registered.queries()[name](spark, SF)
     plan = rows._jdf.queryExecution().executedPlan().toString()

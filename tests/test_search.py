@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quaestor import schemas
 from quaestor.functions.labels import GUARD_MESSAGE, NO_ANSWER_MESSAGE, confidence_label
 from quaestor.functions.strings import indel_score
 from quaestor.operators import embed as em
@@ -12,8 +13,11 @@ from quaestor.operators import fuzzy as fz
 from quaestor.operators import spelling as sp
 from quaestor.operators import vectors as ve
 from quaestor.operators.blocks import top_cells
-from quaestor.plans.cascade import Knowledge, answer, guard
+from quaestor.plans.cascade import Knowledge, answer, evaluate, guard
 from quaestor.plans.pipeline import build_knowledge
+from quaestor.session import scratch_path
+from quaestor.sources import tables as tb
+from quaestor.streaming import jobs
 
 
 def corpus_of(spark, vectors):
@@ -471,3 +475,66 @@ def test_two_factories_of_one_name(spark):
     one, two = (lambda: Constant(1.0)), (lambda: Constant(2.0))
     texts = spark.createDataFrame([(1, "x")], "id long, text string").coalesce(1)
     assert [em.embed(texts, "text", f).first().embedding[0] for f in (one, two)] == [1.0, 2.0]
+
+
+def _known(spark):
+    class Exact:
+        name, dim = "exact", 2
+
+        def encode(self, texts, normalize=True):
+            return np.array([[1.0, 0.0] if "shipping" in t else [0.0, 1.0] for t in texts])
+
+    corpus = spark.createDataFrame(
+        [(0, "about shipping costs", "the answer", [1.0, 0.0])],
+        "faq_id long, question string, answer string, embedding array<float>",
+    )
+    none = vocab_of(spark, {"none": 1}).where("false")
+    return Knowledge(corpus, none.select("word"), none, Exact())
+
+
+def test_a_batch_is_evaluated_as_one_job(spark):
+    asked = spark.createDataFrame(
+        [(1, "shipping please"), (2, "qqqq wwww"), (3, "??")], "query_id long, query string"
+    )
+    row = evaluate(asked, _known(spark)).first()
+    # the guard's message counts as a success
+    assert (row.queries, row.successes) == (3, 2) and row.success_rate == pytest.approx(200 / 3) and row.avg_ms > 0
+    assert evaluate(asked.where("false"), _known(spark)).first().queries == 0
+
+
+def test_a_stream_answers_with_the_cascade_and_writes_the_history(spark):
+    source = scratch_path(spark, "asked")
+    for rows in ([(7, 1, "shipping one"), (7, 2, "qqqq wwww")], [(7, 3, "shipping two"), (8, 4, "shipping three")]):
+        spark.createDataFrame(rows, schemas.CHAT_QUERY).coalesce(1).write.mode("append").parquet(source)
+    out, history = scratch_path(spark, "answers"), scratch_path(spark, "history")
+    known = _known(spark)
+    stream = jobs.converse(
+        jobs.read_files(spark, source, schemas.CHAT_QUERY), lambda batch: answer(batch, known), out, history, scratch_path(spark, "state")
+    )
+    assert stream.awaitTermination(600)
+    told = sorted((r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(history).collect())
+    assert told == [
+        (7, 0, "user", "shipping one"), (7, 1, "assistant", "the answer"), (7, 2, "user", "qqqq wwww"), (7, 3, "assistant", NO_ANSWER_MESSAGE),
+        (7, 4, "user", "shipping two"), (7, 5, "assistant", "the answer"), (8, 0, "user", "shipping three"), (8, 1, "assistant", "the answer"),
+    ]
+
+
+def test_stored_vectors_are_checked_when_loaded(spark):
+    path = scratch_path(spark, "vectors")
+    store = spark.createDataFrame([(f"{n:03d}", [1.0, 0.0]) for n in range(30)], "key string, embedding array<float>")
+    tb.write_vectors(store, path, "m", "d", None, F.current_timestamp())
+
+    def loaded(rows, dim=2, model="m", dataset="d"):
+        found = tb.load_vectors(spark, path, rows, dim, model, dataset)
+        return None if found is None else sorted(r.key for r in found.collect())
+
+    assert loaded(30) == [f"{n:03d}" for n in range(30)]
+    assert loaded(25) == [f"{n:03d}" for n in range(25)]
+    assert [loaded(31), loaded(5), loaded(30, dim=3), loaded(30, model="x"), loaded(30, dataset="x")] == [None] * 5
+
+
+def test_confidence_forms(spark):
+    pairs = spark.createDataFrame([("kitten", "sitting"), ("same", "same"), ("", "a")], "word string, suggestion string")
+    ratio = {r.word: r.confidence for r in sp.confidence(pairs, method="ratio").collect()}
+    assert ratio == {"kitten": 0.62, "same": 1.0, "": 0.0}
+    assert {r.word: r.confidence for r in sp.confidence(pairs).collect()}["kitten"] == pytest.approx(1 - 3 / 7)
