@@ -190,7 +190,7 @@ def _bags(part: pa.RecordBatch) -> dict:
 def train(docs: DataFrame, labels: DataFrame, seed: int = 3) -> AttentionModel:
     """Fit on at most about SAMPLE_ROWS documents (`doc_id`, `text`) with a label (`doc_id`,
     `quality`), drawn by a hash of the id."""
-    known = labels.where(F.col("quality").isNotNull()).select("doc_id", "quality")
+    known = labels.where(F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     total = known.count()
     share = min(1.0, SAMPLE_ROWS / max(total, 1))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
