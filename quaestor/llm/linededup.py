@@ -18,10 +18,9 @@ text get the same result each; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,13 +34,18 @@ PERCENT = 80
 BANDS = 10
 ROWS = 4
 REMOVED_BROADCAST = 4_000_000  # line numbers
+WHITE = " \t\n\x0b\x0c\r"
 _BINS = BANDS * ROWS
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def normal(line: str) -> bytes:
     """The line as it is compared: lower case (A-Z), white space collapsed."""
-    return b" ".join(line.encode().lower().split())
+    raw = line.encode().lower().strip()
+    # most lines have no other white space than single spaces
+    if b"  " in raw or b"\t" in raw or b"\r" in raw or b"\x0b" in raw or b"\x0c" in raw:
+        return b" ".join(raw.split())
+    return raw
 
 
 def _shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +102,7 @@ def _lines(part: pa.RecordBatch) -> dict:
             norm = normal(line)
             if norm:
                 rows.append(i), numbers.append(k), compared.append(norm)
-    digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in compared), np.int64)
+    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in compared), np.int64)
     values, first = _shingles(compared) if compared else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
     keys = signatures(values, first) if compared else np.zeros((0, BANDS), np.uint64)
     at = pa.array(rows, pa.int64())
@@ -182,7 +186,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         texts, counts, cuts = [], [], []
         for text, removed in zip(part.column("text").to_pylist(), part.column("__removed").to_pylist()):
             lines = (text or "").split("\n")
-            counts.append(sum(1 for x in lines if x.encode().split()))
+            counts.append(sum(1 for x in lines if x.strip(WHITE)))
             cuts.append(len(removed or ()))
             if removed:
                 drop = set(removed)
