@@ -344,8 +344,8 @@ SELECT a AS word, b AS suggestion, round(score / 100.0::DOUBLE, 6) AS confidence
 )
 def correction_confidence_ratio(spark, sf):
     """The ratio form of the correction confidence, on part names and their misspellings."""
-    corpus, asked = i.short_names(spark, sf)
-    numbered = corpus.select("p_partkey", F.col("question").alias("suggestion"))
+    _, asked = i.short_names(spark, sf)
+    numbered = i.table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("suggestion"))
     pairs = asked.select(F.col("query_id").alias("p_partkey"), F.col("query").alias("word")).join(numbered, "p_partkey")
     return sp.confidence(pairs.select("word", "suggestion").distinct(), method="ratio").select(
         "word", "suggestion", r6("confidence")
