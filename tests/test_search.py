@@ -93,6 +93,23 @@ def test_hashing_finds_clustered_vectors_among_few_pairs(spark):
     assert pairs.select("query_id", "faq_id").distinct().count() < 0.1 * 100 * 3000
 
 
+def test_registered_index_searches_reach_their_recall(spark):
+    """Neighbours of the given vectors are far: cosines of 0.35 to 0.45 after the first."""
+    from registry import search_queries as sq
+
+    sf = "/root/testdata/sf0.1"
+    key = lambda df: {(r.query_id, r.faq_id): r.similarity for r in df.collect()}
+    exact = key(sq.knn_l2(spark, sf))
+    for name in ("knn_ivf_probes", "knn_lsh"):
+        rows = sq.QUERIES[name](spark, sf).collect()
+        found = {(r.query_id, r.faq_id): r.similarity for r in rows}
+        assert len(found) == len(rows) == len(exact)
+        same = found.keys() & exact.keys()
+        print(name, len(same) / len(exact))
+        assert len(same) >= 0.9 * len(exact)
+        assert all(abs(found[p] - exact[p]) < 1e-6 for p in same)
+
+
 def test_hashing_answers_lonely_queries_exactly(cloud):
     corpus, asked = cloud
     assert matches(ve.knn_lsh(asked, corpus, 5, bits=40, tables=1)) == matches(ve.knn_l2(asked, corpus, 5))
