@@ -86,7 +86,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(filled.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
     members = stored(filled.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "id"), "members")
     heads = filled.join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("id")))
-    heads = heads.select(F.col("doc_id").alias("id"), "n", "halves")
+    # rows repeated under one id with one set are one head
+    heads = heads.dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("id"), "n", "halves")
     tables = F.explode(
         F.array(
             *[

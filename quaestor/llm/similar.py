@@ -153,7 +153,8 @@ def forest(ids: list, at: np.ndarray, to: np.ndarray) -> list[tuple]:
 
 def large_links(company: DataFrame, payloads: DataFrame, percent: int, decode: Decode | None) -> DataFrame:
     """Spanning links (100 * common >= percent * union) of the buckets above SMALL."""
-    rows = company.where(F.col("members") > SMALL)
+    # an id with several sets may be in a bucket more than once, and would cancel in the xor
+    rows = company.where(F.col("members") > SMALL).dropDuplicates(["key", "id"])
     same = rows.groupBy("key").agg(
         F.bit_xor(F.xxhash64("id")).alias("f"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("g"), F.count("*").alias("c")
     )
@@ -192,7 +193,7 @@ def large_links(company: DataFrame, payloads: DataFrame, percent: int, decode: D
 
 
 def links(buckets: DataFrame, payload_of, percent: int, decode: Decode | None = None) -> DataFrame:
-    """Links of all buckets, whose ids are whole numbers; an id is in a bucket once.
+    """Links of all buckets, whose ids are whole numbers.
     `payload_of(ids)` gives `id` and `payload` of the ids that share a bucket with another."""
     few, company = split_buckets(buckets)
     few = stored(few.unionByName(small_pairs(company)).distinct(), "pairs")

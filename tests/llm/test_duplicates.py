@@ -81,6 +81,20 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
     assert sorted((r.doc_id, r.n_shingles) for r in out if r.doc_id) == sorted((i, len(shingle_set(t))) for i, t in rows)
 
 
+def test_doubled_rows_keep_large_groups_apart(spark):
+    """Every row twice: the ids of a large bucket must not cancel and make two groups look alike."""
+    rng = random.Random(7)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(200)]
+        for i in range(30):
+            rows.append((100 * (g + 1) + i, " ".join([*base, f"own{g}x{i}"])))
+    rng.shuffle(rows)
+    want = {i: i // 100 * 100 for i, _ in rows}
+    out = neardup.near_duplicates(docs(spark, rows + rows)).collect()
+    assert len(out) == 2 * len(rows) and {r.doc_id: r.component_id for r in out} == want
+
+
 def test_half_keys_find_links_at_the_threshold():
     import numpy as np
 
