@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quaestor.llm import chat, decontaminate, html, langid, linededup, mixture, neardup, quality, rules, warc
+from quaestor.llm import (
+    chat, decontaminate, fim, html, langid, linededup, merkle, mixture, neardup, quality, rules, simhash, warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -260,6 +262,118 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and recomputed root in the manifest's tree."""
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE given AS (
+  SELECT doc_id, source, text, concat(
+      coalesce(concat(strlen(CAST(doc_id AS VARCHAR)), ':', doc_id), '-'),
+      coalesce(concat(strlen(source), ':', source), '-'), coalesce(concat(strlen(lang), ':', lang), '-'),
+      coalesce(concat(strlen(CAST(n_chars AS VARCHAR)), ':', n_chars), '-')) AS fields,
+    list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+        lambda ch: [ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) AS crc
+  FROM documents
+), leaf AS (
+  SELECT doc_id, source, sha256(fields || coalesce(concat(strlen(text), ':', text), '-')) AS h,
+    CASE WHEN (4294967295 - crc) % 5 = 0 THEN sha256(fields || coalesce(concat(strlen(text), ':',
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), '-')) END AS changed
+  FROM given
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp
+  FROM leaf
+), low AS (
+  SELECT 0 AS level, grp, pos, n, h FROM placed
+  UNION ALL
+  SELECT any_value(level) + 1, grp, pos // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY pos))
+  FROM low WHERE n > 1 GROUP BY grp, pos // 16
+), tops AS (
+  SELECT 0 AS level, grp AS pos, count(*) OVER () AS n, h FROM low WHERE n = 1
+  UNION ALL
+  SELECT any_value(level) + 1, pos // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY pos))
+  FROM tops WHERE n > 1 GROUP BY pos // 16
+), nodes AS (
+  SELECT 0 AS tree, level, grp, pos, n, h FROM low UNION ALL SELECT 1, level, -1, pos, n, h FROM tops
+), paths AS (
+  -- a leaf's place on every level of its source's tree, then of the top one
+  SELECT doc_id, p.grp, p.pos AS leaf_pos, tree, x.level,
+    CASE tree WHEN 0 THEN p.pos ELSE p.grp END // CAST(16 ** x.level AS BIGINT) AS own, x.n
+  FROM placed p, (SELECT DISTINCT tree, level, grp, n FROM nodes WHERE n > 1) x
+  WHERE x.grp = CASE tree WHEN 0 THEN p.grp ELSE -1 END
+), sides AS (
+  SELECT t.grp, t.leaf_pos, t.tree, t.level, row_number() OVER (PARTITION BY t.grp, t.leaf_pos ORDER BY t.tree, t.level) AS step,
+    coalesce(string_agg(o.h, '' ORDER BY o.pos) FILTER (o.pos < t.own), '') AS left_,
+    coalesce(string_agg(o.h, '' ORDER BY o.pos) FILTER (o.pos > t.own), '') AS right_
+  FROM paths t JOIN nodes o ON o.tree = t.tree AND o.level = t.level
+    AND o.grp = CASE t.tree WHEN 0 THEN t.grp ELSE -1 END AND o.pos // 16 = t.own // 16
+  GROUP BY t.grp, t.leaf_pos, t.tree, t.level
+), folded AS (
+  SELECT grp, pos AS leaf_pos, 1 AS step, coalesce(changed, h) AS h FROM placed
+  UNION ALL
+  SELECT f.grp, f.leaf_pos, f.step + 1, sha256(left_ || f.h || right_)
+  FROM folded f JOIN sides s ON s.grp = f.grp AND s.leaf_pos = f.leaf_pos AND s.step = f.step
+), ends AS (
+  SELECT grp, leaf_pos, arg_max(h, step) AS h FROM folded GROUP BY grp, leaf_pos
+), proofs AS (
+  SELECT grp, leaf_pos, sha256(string_agg(left_ || right_, '' ORDER BY step)) AS proof FROM sides GROUP BY grp, leaf_pos
+)
+SELECT p.doc_id, p.h AS leaf, s.h AS subroot, r.h AS root, coalesce(proof, sha256('')) AS proof_sha256,
+  e.h AS folded_root, e.h = r.h AS verified
+FROM placed p JOIN ends e ON e.grp = p.grp AND e.leaf_pos = p.pos
+JOIN (SELECT grp, h FROM low WHERE n = 1) s ON s.grp = p.grp
+CROSS JOIN (SELECT h FROM tops WHERE n = 1) r
+LEFT JOIN proofs q ON q.grp = p.grp AND q.leaf_pos = p.pos
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and reordered, and the text rebuilt from that."""
+    made = fim.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP12_SQL = r"""
+WITH given AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens
+  FROM documents
+), drawn AS (
+  SELECT doc_id, t, tokens, len(tokens) AS n,
+    ('0x' || h[1:8])::UBIGINT::BIGINT AS h1, ('0x' || h[9:16])::UBIGINT::BIGINT AS h2,
+    ('0x' || h[17:24])::UBIGINT::BIGINT AS h3, ('0x' || h[25:32])::UBIGINT::BIGINT AS h4
+  FROM given
+), cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+         WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT doc_id, t, n, form, array_to_string(tokens[1:a], '') AS p, array_to_string(tokens[a + 1:b], '') AS m,
+    array_to_string(tokens[b + 1:], '') AS s
+  FROM cuts
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components by fingerprint distance; tested against brute force."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -271,6 +385,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle": op11_merkle,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_simhash": op13_simhash,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -280,4 +397,6 @@ SQL = {
     "op4_quality_rules": OP4_SQL,
     "op8_warc": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op11_merkle": OP11_SQL,
+    "op12_fill_in_middle": OP12_SQL,
 }

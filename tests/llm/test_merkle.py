@@ -1,0 +1,97 @@
+"""Merkle manifest against plain recursion."""
+
+import hashlib
+import re
+import zlib
+
+import pytest
+
+from quaestor.llm import merkle
+
+from .common import DOCS, ODD, docs
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(row, text):
+    given = [row.doc_id, row.source, row.lang, row.n_chars, text]
+    return h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in given])
+
+
+def rise(nodes):
+    """Root of a list of digests, and the siblings (left, right) of every one on the way."""
+    at, paths = list(range(len(nodes))), [[] for _ in nodes]
+    while len(nodes) > 1:
+        for i, k in enumerate(at):
+            run = nodes[k // 16 * 16 : k // 16 * 16 + 16]
+            paths[i].append(("".join(run[: k % 16]), "".join(run[k % 16 + 1 :])))
+        nodes = [h(*nodes[k : k + 16]) for k in range(0, len(nodes), 16)]
+        at = [k // 16 for k in at]
+    return nodes[0], paths
+
+
+def plain(rows):
+    sources = sorted({r.source for r in rows}, key=lambda s: b"" if s is None else b"=" + s.encode())
+    groups = []
+    for source in sources:
+        own = sorted((r for r in rows if r.source == source), key=lambda r: (r.doc_id is not None, r.doc_id, leaf(r, r.text)))
+        groups.append((own, *rise([leaf(r, r.text) for r in own])))
+    root, above = rise([g[1] for g in groups])
+    out = []
+    for (own, subroot, paths), up in zip(groups, above):
+        for row, path in zip(own, paths):
+            path = path + up
+            text = row.text
+            if row.doc_id is not None and zlib.crc32(str(row.doc_id).encode()) % 5 == 0 and text is not None:
+                text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+            folded = leaf(row, text)
+            for left, right in path:
+                folded = h(left, folded, right)
+            out.append((row.doc_id, leaf(row, row.text), subroot, root, h(*[a + b for a, b in path]), folded, folded == root))
+    return out
+
+
+def by_row(rows):
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
+def table(spark, sizes):
+    rows, k = [], 0
+    for source, n in sizes.items():
+        for _ in range(n):
+            rows.append(((k * 7919) % 100_003, f"Text {k % 5} of É{k}", "en", source))
+            k += 1
+    return docs(spark, rows)
+
+
+@pytest.mark.parametrize(
+    "sizes",
+    [{"a": 1}, {"a": 16, "b": 17, None: 1, "": 3}, {"hot": 530, "é": 256, "z": 257, "Z": 2}, {f"s{k}": 1 + k % 3 for k in range(300)}],
+    ids=["lone", "runs", "hot", "many"],
+)
+def test_equals_plain_recursion(spark, sizes):
+    given = table(spark, sizes)
+    got = by_row(merkle.audit(given).collect())
+    assert got == by_row(plain(given.collect()))
+    changed = [r for r in got if not r[-1]]
+    assert {r[0] for r in changed} == {r[0] for r in got if zlib.crc32(str(r[0]).encode()) % 5 == 0}
+
+
+def test_odd_rows(spark):
+    given = docs(spark, [*ODD, (12, "No lang", None, None), (None, "text without id"), (None, None, None, None)], extra=True)
+    assert by_row(merkle.audit(given).collect()) == by_row(plain(given.collect()))
+
+
+def test_empty_and_nodes(spark):
+    assert merkle.audit(spark.createDataFrame([], DOCS)).collect() == []
+    tree = merkle.manifest(table(spark, {"a": 300, "b": 2}))
+    counts = {(r.tree, r.level): r["count"] for r in tree.nodes.groupBy("tree", "level").count().collect()}
+    assert counts == {("sources", 0): 302, ("sources", 1): 20, ("sources", 2): 2, ("sources", 3): 1, ("top", 0): 2, ("top", 1): 1}
+    assert tree.nodes.where("tree = 'top' AND n = 1").first().h == tree.root
+
+
+def test_windows_hold_one_run(spark):
+    plan = merkle.audit(table(spark, {"a": 40}))._jdf.queryExecution().executedPlan().toString()
+    assert "lag(h" in plan and set(re.findall(r"lead\(h.*?windowspecdefinition\((\w+)#\d+, (\w+)#", plan)) == {("grp", "run")}

@@ -1,0 +1,94 @@
+"""SimHash components against all pairs of plainly computed fingerprints."""
+
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from quaestor.llm import simhash
+
+from .common import DOCS, ODD, docs
+from .test_duplicates import groups
+
+
+def plain(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    if not words:
+        return 0
+    grams = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    values = [xxhash.xxh64_intdigest(g, seed=42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values))
+
+
+def near_rows():
+    rng = random.Random(5)
+    rows = list(ODD) + [(3, "same TEXT\x0bhere"), (60, " \n"), (61, "!")]
+    for g in range(6):
+        base = [f"w{rng.randrange(500)}" for _ in range(300)]
+        for k in range(40):
+            copy = list(base)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(300)] = f"e{rng.randrange(999)}"
+            rows.append((1000 * (7 - g) + k, "  ".join(copy)))
+    return rows + [(9000 + k, " ".join(f"w{rng.randrange(900)}" for _ in range(9))) for k in range(200)]
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_components_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rows = near_rows()
+    out = simhash.near_duplicates(docs(spark, rows, extra=True)).collect()
+    assert sorted((str(r.doc_id), r.fingerprint) for r in out) == sorted((str(i), f"{plain(t):016x}") for i, t in rows)
+    prints = [(i, plain(t)) for i, t in rows]
+    nodes = list(range(len(prints)))
+    edges = [
+        (a, b) for a in nodes for b in nodes
+        if a < b and (bin(prints[a][1] ^ prints[b][1]).count("1") <= 4 or prints[a][0] == prints[b][0] is not None)
+    ]
+    part = groups(nodes, edges)
+    want = {}
+    for k in nodes:
+        want.setdefault(part[k], []).append(prints[k][0])
+    least = {p: min((i for i in ids if i is not None), default=None) for p, ids in want.items()}
+    assert sorted(map(repr, ((r.doc_id, r.component_id) for r in out))) == sorted(
+        repr((prints[k][0], least[part[k]])) for k in nodes
+    )
+    assert len(set(least.values())) < len(rows) - 100
+
+
+def test_every_pair_within_distance_shares_a_key(spark):
+    rng = np.random.default_rng(1)
+    base = rng.integers(-(1 << 63), 1 << 63, 400)
+    flips = [np.bitwise_xor.reduce([np.int64(np.uint64(1) << np.uint64(b)) for b in rng.choice(64, 4, replace=False)]) for _ in base]
+    pairs = spark.createDataFrame([(int(a), int(a ^ f)) for a, f in zip(base, flips)], "a long, b long")
+    shared = pairs.selectExpr("a", "b").select(
+        simhash.F.arrays_overlap(simhash.variants(simhash.F.col("a")), simhash.variants(simhash.F.col("b"))).alias("met")
+    )
+    assert shared.where("met").count() == 400
+
+
+def test_block_forest_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 1 << 62, 30)
+    ids = np.unique(np.concatenate([ids, ids ^ 1, ids ^ 7, ids ^ 0x3F0, ids ^ 0x1F0F]))
+    left, right = ids[::2], ids[1::2]
+    for a, b in ((ids, None), (left, right)):
+        nodes = ids.tolist()
+        every = [(x, y) for x in a.tolist() for y in (a if b is None else b).tolist() if bin(x ^ y).count("1") <= 4]
+        found = simhash.spanning(a, b)
+        assert set(found) <= {*every, *((y, x) for x, y in every)} and len(found) < len(nodes)
+        assert groups(nodes, found) == groups(nodes, every)
+
+
+def test_pieces_of_a_long_text(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([t for _, t in ODD])
+    whole = simhash.fingerprints(texts).tolist()
+    monkeypatch.setattr(simhash, "PIECE", 7)
+    assert simhash.fingerprints(texts.slice(3, 5)).tolist() == whole[3:8]
+
+
+def test_empty(spark):
+    assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
