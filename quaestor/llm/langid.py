@@ -2,8 +2,9 @@
 
 Every run of 2, 3 and 4 bytes of the lower-cased text is hashed to one of `BUCKETS` embedding
 rows. The text's vector is their average, a linear layer gives one logit per language. Both
-layers are trained by stochastic gradient descent in numpy on a bounded sample; a temperature
-and a rejection threshold are then fitted on sample rows that training did not see.
+layers are trained by stochastic gradient descent in numpy on a bounded sample of rows, each with
+all of its subwords as counts per bucket; the step follows the gradient of the average. A
+temperature and a rejection threshold are then fitted on sample rows that training did not see.
 
 Average and linear layer commute, so scoring looks up one logit row per subword and never
 forms the embedding: the cost is linear in the bytes, the state a table of BUCKETS x languages.
@@ -15,6 +16,7 @@ of one byte count as one subword; without any labelled row every text is `und`.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,10 @@ from quaestor.llm.arrays import LOWER, Rolling, _BYTE, buffer, map_slices, segme
 BUCKETS = 1 << 15
 DIM = 16
 ORDERS = (2, 3, 4)
-SAMPLE_PER_LANGUAGE = 1_500  # bound of the training sample
-GRAMS_PER_ROW = 384  # subwords drawn from all over a training text
+SAMPLE_PER_LANGUAGE = 600  # about; with SAMPLE_ROWS the bound of the training sample
+SAMPLE_ROWS = 6_000
+CHUNK = 1 << 18  # subwords looked up at a time
+EMBEDDING_RATE = 400  # times the layer's
 REJECTED_SHARE = 0.0005  # of right calibration rows that the threshold may cost
 
 
@@ -53,16 +57,29 @@ def _grams(data: np.ndarray, offsets: np.ndarray):
 
 
 def _sample_rows(part: pa.RecordBatch) -> dict:
+    """Every row's buckets and how often each occurs, over the whole text."""
     data, offsets = buffer(part.column("text"))
-    rows = [[] for _ in range(part.num_rows)]
-    for buckets, a, b in _grams(data, offsets):
-        for i, (lo, hi) in enumerate(zip(a, b)):
-            if hi > lo:
-                rng = np.random.default_rng(int(hi - lo))
-                take = min(hi - lo, GRAMS_PER_ROW // len(ORDERS))
-                rows[i].append(buckets[lo + np.sort(rng.choice(hi - lo, take, replace=False))])
-    grams = [np.concatenate(r) if r else np.zeros(0, np.int32) for r in rows]
-    return {"lang": part.column("lang"), "grams": pa.array(grams, pa.list_(pa.int32()))}
+    grams = list(_grams(data, offsets))
+    found = [np.unique(np.concatenate([x[a[i] : b[i]] for x, a, b in grams]), return_counts=True) for i in range(part.num_rows)]
+    return {
+        "lang": part.column("lang"),
+        "buckets": pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32())),
+        "counts": pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32())),
+    }
+
+
+def _sums(table: np.ndarray, buckets: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Table rows of each text's subwords added up, so many subwords at a time."""
+    out = np.zeros((len(begins), table.shape[1]))
+    for low in range(0, len(buckets), CHUNK):
+        high = min(low + CHUNK, len(buckets))
+        looked = np.concatenate([table[buckets[low:high]], np.zeros((1, table.shape[1]), np.float32)])
+        near = slice(np.searchsorted(ends, low, "right"), np.searchsorted(begins, high, "left"))
+        # segments begin..end leave out the subwords that run into the next text
+        cuts = np.clip(np.stack([begins[near], ends[near]], axis=1), low, high).ravel() - low
+        if len(cuts):
+            out[near] += segment(np.add, looked, np.append(cuts, len(looked)), 0)[0::2]
+    return out
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -70,14 +87,35 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, np.ndarray]], epochs: int = 6, rate: float = 0.4, seed: int = 1) -> LanguageModel:
-    """Train on (language, subword buckets) rows; every fifth row calibrates."""
-    rows = sorted(((lang, np.asarray(g, np.int64)) for lang, g in rows if len(g)), key=lambda r: (r[0], r[1].tobytes()))
-    languages = sorted({lang for lang, _ in rows})
+Row = tuple[str, np.ndarray, np.ndarray]  # language, buckets, counts
+
+
+def averages(rows: list[Row]) -> np.ndarray:
+    """Share of every bucket in each row's subwords."""
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for i, (_, buckets, counts) in enumerate(rows):
+        x[i, buckets] = counts / counts.sum()
+    return x
+
+
+def gradients(x: np.ndarray, y: np.ndarray, embedding: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean cross entropy, by both layers."""
+    hidden = x @ embedding
+    error = _softmax(hidden @ weight)
+    error[np.arange(len(y)), y] -= 1
+    error /= len(y)
+    return x.T @ (error @ weight.T), hidden.T @ error
+
+
+def fit(rows: list[Row], epochs: int = 8, rate: float = 2.0, seed: int = 1) -> LanguageModel:
+    """Train on rows; every fifth calibrates. An embedding row moves by its share of a text, so the
+    embedding's rate is that much larger than the layer's."""
+    rows = sorted((r for r in rows if len(r[1])), key=lambda r: (r[0], blake2b(r[1].tobytes() + r[2].tobytes()).digest()))
+    languages = sorted({r[0] for r in rows})
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    y = np.array([languages.index(lang) for lang, _ in rows])
+    y = np.array([languages.index(r[0]) for r in rows])
     held = np.zeros(len(rows), bool)
     held[rng.permutation(len(rows))[::5]] = len(rows) >= 50
     embedding = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -88,20 +126,13 @@ def fit(rows: list[tuple[str, np.ndarray]], epochs: int = 6, rate: float = 0.4,
         order = rng.permutation(train)
         for k in range(0, len(order), 32):
             at = order[k : k + 32]
-            sizes = np.array([len(rows[i][1]) for i in at])
-            grams = np.concatenate([rows[i][1] for i in at])
-            owner = np.repeat(np.arange(len(at)), sizes)
-            hidden = np.add.reduceat(embedding[grams], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
-            hidden /= sizes[:, None]
-            error = _softmax(hidden @ weight)
-            error[np.arange(len(at)), y[at]] -= 1
-            back = (error @ weight.T) * step
-            weight -= step * hidden.T @ error / len(at)
-            np.subtract.at(embedding, grams, (back / np.sqrt(sizes)[:, None])[owner].astype(np.float32))
+            by_embedding, by_weight = gradients(averages([rows[i] for i in at]), y[at], embedding, weight)
+            embedding -= step * EMBEDDING_RATE * by_embedding
+            weight -= step * by_weight
     table = (embedding @ weight).astype(np.float32)
 
     check = np.flatnonzero(held) if held.any() else train
-    logits = np.stack([table[rows[i][1]].mean(axis=0) for i in check]).astype(np.float64)
+    logits = np.stack([rows[i][2] @ table[rows[i][1]] / rows[i][2].sum() for i in check]).astype(np.float64)
     scales = np.geomspace(0.05, 4, 60)
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(check)), y[check]], 1e-12)).mean() for t in scales]
     temperature = float(scales[int(np.argmin(loss))])
@@ -113,18 +144,17 @@ def fit(rows: list[tuple[str, np.ndarray]], epochs: int = 6, rate: float = 0.4,
 
 
 def train(labelled: DataFrame, seed: int = 1) -> LanguageModel:
-    """Fit on at most about SAMPLE_PER_LANGUAGE rows (`text`, `lang`, `doc_id`) of each language,
-    drawn by a hash of the id."""
+    """Fit on at most about SAMPLE_PER_LANGUAGE rows (`text`, `lang`, `doc_id`) of each language, and
+    about SAMPLE_ROWS in all, drawn by a hash of the id."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    share = {r["lang"]: min(1.0, SAMPLE_PER_LANGUAGE / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not share:
-        return fit([])
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    drawn = sizes.agg(F.sum(F.least("_n", F.lit(SAMPLE_PER_LANGUAGE)))).first()[0] or 0
+    each = SAMPLE_PER_LANGUAGE * min(1.0, SAMPLE_ROWS / max(drawn, 1))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    wanted = F.lit(False)
-    for lang, part in sorted(share.items()):
-        wanted = wanted | ((F.col("lang") == lang) & (draw < part))
-    sample = map_slices(rows.where(wanted).select("text", "lang"), _sample_rows, "lang string, grams array<int>")
-    return fit([(r["lang"], np.array(r["grams"], np.int64)) for r in sample.collect()], seed=seed)
+    chosen = rows.join(sizes, "lang").where(draw < F.lit(each) / F.col("_n")).select("text", "lang")
+    sample = map_slices(chosen, _sample_rows, "lang string, buckets array<int>, counts array<int>").toArrow()
+    lists = [[x.values.to_numpy() for x in sample.column(c)] for c in ("buckets", "counts")]
+    return fit(list(zip(sample.column("lang").to_pylist(), *lists)), seed=seed)
 
 
 def predict(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
@@ -140,10 +170,7 @@ def predict(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ("do
         for buckets, a, b in _grams(data, offsets):
             if not len(buckets) or not k:
                 continue
-            # segments a..b leave out the subwords that run into the next text
-            cuts = np.stack([a, b], axis=1).ravel()
-            looked = np.concatenate([model.table[buckets], np.zeros((len(data) + 1 - len(buckets), k), np.float32)])
-            total += segment(np.add, looked, np.append(cuts, len(looked)), 0)[0::2].astype(np.float64)[:n]
+            total += _sums(model.table, buckets, a, b)
             count += b - a
         p = _softmax(total / np.maximum(count, 1)[:, None] / model.temperature) if k else np.zeros((n, 1))
         letter = ((data | 32) - 97 < 26).astype(np.int64)

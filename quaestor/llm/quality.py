@@ -26,7 +26,6 @@ BUCKETS = 1 << 12
 WORD_DIM = 16
 HIDDEN = 24
 SAMPLE_ROWS = 8_000  # bound of the training sample
-BAG_PASSAGES = 24  # passages drawn from all over a training text; scoring uses all
 PREDICTED_FROM = 0.3
 _PROJECTION = np.random.default_rng(11).normal(0, 1, (BUCKETS, WORD_DIM)).astype(np.float32)
 FEATURES = WORD_DIM + 9
@@ -177,13 +176,9 @@ class AttentionModel:
 
 
 def _bags(part: pa.RecordBatch) -> dict:
+    """All passages of every text."""
     x, first = _encode(*buffer(part.column("text")))
-    bags = []
-    for a, b in zip(first[:-1], first[1:]):
-        at = np.arange(a, b)
-        if b - a > BAG_PASSAGES:
-            at = np.sort(np.random.default_rng(int(b - a)).choice(at, BAG_PASSAGES, replace=False))
-        bags.append(x[at].ravel())
+    bags = [x[a:b].ravel() for a, b in zip(first[:-1], first[1:])]
     return {"quality": part.column("quality"), "bag": pa.array(bags, pa.list_(pa.float32()))}
 
 
@@ -196,11 +191,11 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 3) -> AttentionModel:
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
     # both sides are cut to the drawn ids before they meet
     sample = docs.where(draw).select("doc_id", "text").join(known.where(draw), "doc_id").select("text", "quality")
-    rows = map_slices(sample, _bags, "quality int, bag array<float>").collect()
-    rows = sorted(
-        ((int(r["quality"] > 0), np.array(r["bag"], np.float32)) for r in rows), key=lambda r: (r[0], r[1].tobytes())
-    )
-    return AttentionModel(seed).fit([b.reshape(-1, FEATURES) for _, b in rows], np.array([q for q, _ in rows]))
+    rows = map_slices(sample, _bags, "quality int, bag array<float>").toArrow()
+    marks = (rows.column("quality").to_numpy() > 0).astype(int).tolist()
+    bags = [b.values.to_numpy() for b in rows.column("bag")]
+    pairs = sorted(zip(marks, bags), key=lambda r: (r[0], r[1].tobytes()))
+    return AttentionModel(seed).fit([b.reshape(-1, FEATURES) for _, b in pairs], np.array([q for q, _ in pairs]))
 
 
 def score(docs: DataFrame, model: AttentionModel) -> DataFrame:

@@ -44,12 +44,65 @@ def test_nothing_to_learn(spark):
 
 
 def test_a_language_model_rejects_what_it_cannot_tell():
-    rows = [("x", np.array([1, 2, 3])), ("y", np.array([7, 8, 9]))] * 40
+    rows = [("x", np.array([1, 2, 3]), np.array([1, 1, 2])), ("y", np.array([7, 8, 9]), np.array([3, 1, 1]))] * 40
     model = langid.fit(rows)
     p = langid._softmax(np.stack([model.table[[1, 2]].mean(axis=0), model.table[[50]].mean(axis=0)]) / model.temperature)
     assert p[0].max() > p[1].max() and 0 < model.threshold <= 0.5
 
 
+def test_language_gradients_match_differences():
+    rng = np.random.default_rng(1)
+    x, y = np.zeros((3, langid.BUCKETS)), np.array([0, 1, 1])
+    x[:, :4] = [[0.5, 0.5, 0, 0], [0, 0.25, 0.75, 0], [0, 0, 0, 1]]
+    embedding, weight = rng.normal(0, 1, (langid.BUCKETS, langid.DIM)), rng.normal(0, 1, (langid.DIM, 2))
+
+    def loss():
+        return -np.log(langid._softmax(x @ embedding @ weight)[np.arange(3), y]).mean()
+
+    by_embedding, by_weight = langid.gradients(x, y, embedding, weight)
+    for layer, grad, at in ((embedding, by_embedding, (2, 5)), (weight, by_weight, (3, 1)), (embedding, by_embedding, (9, 0))):
+        layer[at] += 1e-5
+        up = loss()
+        layer[at] -= 2e-5
+        down = loss()
+        layer[at] += 1e-5
+        assert grad[at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-8)
+
+
+def _one_by_one(text, model):
+    """A text's score in plain loops over its subwords."""
+    data = np.frombuffer(text.lower().encode() if text.isascii() else text.encode(), np.uint8)
+    total, count = np.zeros(len(model.languages)), 0
+    for n in langid.ORDERS:
+        for k in range(len(data) - n + 1):
+            bucket = langid.Rolling(langid._BYTE[data[k : k + n]]).grams(n)[0] & np.uint64(langid.BUCKETS - 1)
+            total += model.table[int(bucket)]
+            count += 1
+    z = np.exp(total / count / model.temperature)
+    return z / z.sum()
+
+
+@pytest.mark.parametrize("chunk", [1 << 18, 7])
+def test_language_scores_in_plain_loops(spark, monkeypatch, chunk):
+    monkeypatch.setattr(langid, "CHUNK", chunk)
+    rng = np.random.default_rng(4)
+    table = rng.normal(0, 1, (langid.BUCKETS, 3)).astype(np.float32)
+    model = langid.LanguageModel(["x", "y", "z"], table, 0.3, 0.0)
+    texts = ["the first text", "ab", "", "and ANOTHER one, longer than that", None, "abc" * 40, "x1"]
+    import pyarrow as pa
+
+    given = pa.array(texts, pa.string())
+    data, offsets = langid.buffer(given)
+    total, count = np.zeros((len(texts), 3)), np.zeros(len(texts))
+    for buckets, a, b in langid._grams(data, offsets):
+        total += langid._sums(table, buckets, a, b)
+        count += b - a
+    for i, text in enumerate(texts):
+        if text:
+            z = np.exp(total[i] / count[i] / model.temperature)
+            assert z / z.sum() == pytest.approx(_one_by_one(text, model), rel=1e-4)
+
+
 def _auc(score, label):
     rank = np.argsort(np.argsort(score))
     pos = label == 1

@@ -25,7 +25,7 @@ def brute_stages(docs, benchmark, language_of):
         for x in s:
             by_shingle[x].append(i)
     near = {(a, b) for ids in by_shingle.values() for a in ids for b in ids if a < b}
-    edges = [(a, b) for a, b in near if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    edges = [(a, b) for a, b in near if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     of = groups(sets, edges)
     rows = [r for r in rows if of[r[0]] == r[0]]
     return [r for r in rows if not brute(r[1], benchmark)[4]]
