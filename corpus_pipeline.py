@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from quaestor.llm import decontaminate, langid, linededup, mixture, neardup
 from quaestor.llm.graph import stored
 
+PERCENT = 80  # of shingles in common, from which documents are near duplicates
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what is written in a learned language, under its predicted name."""
@@ -43,7 +45,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of each component."""
-    gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    gone = neardup.near_duplicates(docs, PERCENT).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
