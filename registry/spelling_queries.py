@@ -10,6 +10,7 @@ from quaestor import schemas
 from quaestor.functions import text as tx
 from quaestor.operators import embed as em
 from quaestor.operators import retention as rt
+from quaestor.operators import speller
 from quaestor.operators import spelling as sp
 from quaestor.operators import vectors as ve
 from quaestor.session import cut, scratch_path
@@ -115,6 +116,23 @@ def suggest_words(spark, sf):
     )
 
 
+@query(
+    f"""WITH {_WORDS}, known AS (SELECT v.word, v.freq FROM vocab v JOIN terms t ON t.word = v.word),
+asked AS (SELECT word FROM chat WHERE length(word) > 2 AND word NOT IN (SELECT word FROM terms)),
+met AS (SELECT a.word, v.word AS suggestion, levenshtein(a.word, v.word) AS edits, v.freq
+        FROM asked a JOIN known v ON abs(length(a.word) - length(v.word)) <= 2 AND levenshtein(a.word, v.word) <= 2)
+SELECT word, suggestion, position, edits, freq FROM (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY edits, freq DESC, suggestion) AS position FROM met)
+WHERE position <= 3"""
+)
+def spell_checker(spark, sf):
+    """Every unknown word of the conversations against the accepted words of the documents."""
+    vocabulary = cut(i.vocabulary(spark, sf))
+    terms = sp.domain_terms(vocabulary)
+    unknown = sp.unknown_words(i.chat_words(spark, sf), terms)
+    return speller.check(unknown, vocabulary.join(terms, "word", "left_semi"))
+
+
 @query()
 def correct_words(spark, sf):
     terms, vocabulary = _spell_side(spark, sf)
