@@ -32,11 +32,11 @@ def query(sql: str | None = None):
 # --- embedding ----------------------------------------------------------------------------
 
 
-def _components(df, id_col):
+def _components(df, *kept):
     return df.select(
-        id_col, F.posexplode("embedding").alias("slot", "value")
+        *kept, F.posexplode("embedding").alias("slot", "value")
     ).select(
-        id_col, F.col("slot").cast("long").alias("slot"), F.round(F.col("value").cast("double"), 6).alias("value")
+        *kept, F.col("slot").cast("long").alias("slot"), F.round(F.col("value").cast("double"), 6).alias("value")
     )
 
 
@@ -66,20 +66,13 @@ _KEY = "md5(text || '_hashing-64_True')"
     f"""WITH k AS (SELECT min(doc_id) AS id, {_KEY} AS key, min(text) AS text, count(*) AS copies
            FROM documents GROUP BY 2),
 {i.embed_sql('e', 'k', 'id', 'text')}
-SELECT k.key, k.copies, round(list_sum(list_transform(e.v, lambda x: x * x)), 4) AS squared_norm,
-       round(e.v[1], 6) AS first_value
-FROM k JOIN e ON e.id = k.id"""
+SELECT k.key, k.copies, unnest(range(64)) AS slot, round(unnest(e.v), 6) AS value FROM k JOIN e ON e.id = k.id"""
 )
 def embed_dedup(spark, sf):
+    """All components of every distinct text's vector."""
     docs = i.table(spark, sf, "documents")
     distinct = em.distinct_texts(docs, "text", i.ENCODER.name)
-    squared = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return em.embed(distinct, "text", i.ENCODER).select(
-        "key",
-        "copies",
-        F.round(squared, 4).alias("squared_norm"),
-        F.round(F.col("embedding")[0].cast("double"), 6).alias("first_value"),
-    )
+    return _components(em.embed(distinct, "text", i.ENCODER), "key", "copies")
 
 
 def _stored(spark, sf):
@@ -94,11 +87,18 @@ _STORED = f"""stored AS (SELECT DISTINCT {_KEY} AS key FROM documents WHERE doc_
 d AS (SELECT {_KEY} AS key FROM documents)"""
 
 
-@query(f"WITH {_STORED} SELECT DISTINCT key, key IN (SELECT key FROM stored) AS reused FROM d")
+@query(
+    f"""WITH {_STORED}, k AS (SELECT min(doc_id) AS id, {_KEY} AS key, min(text) AS text FROM documents GROUP BY 2),
+{i.embed_sql('e', 'k', 'id', 'text')}
+SELECT k.key, k.key IN (SELECT key FROM stored) AS reused, unnest(range(64)) AS slot, round(unnest(e.v), 6) AS value
+FROM k JOIN e ON e.id = k.id"""
+)
 def embed_incremental(spark, sf):
-    return em.embed_incremental(
+    """All components of every vector, stored or new."""
+    made = em.embed_incremental(
         i.table(spark, sf, "documents"), _stored(spark, sf), "text", i.ENCODER, i.ENCODER.name
-    ).select("key", "reused")
+    )
+    return _components(made, "key", "reused")
 
 
 @query(

@@ -207,28 +207,20 @@ def _drain(stream) -> None:
 def _as_files(df, order: str, files: int = 4) -> str:
     """The table as several files in order, so that a file stream has several batches.
 
-    A slice is one file, as a stream takes whole files in the order of their writing; large
-    tables give more slices, of about SLICE_ROWS rows.
+    One range sort cuts the table into slices of at most about SLICE_ROWS rows, rows without an
+    order first. A slice is one file, as a stream takes whole files in the order of their
+    writing, and is read from its own folder: every row is read twice, however many slices.
     """
-    path = scratch_path(df.sparkSession, "stream")
+    spark = df.sparkSession
+    cuts, path = scratch_path(spark, "slices"), scratch_path(spark, "stream")
     files = max(files, math.ceil(df.count() / SLICE_ROWS))
-    for part in _slices(df, order, files):
-        part.coalesce(1).write.mode("append").parquet(path)
+    ranged = df.repartitionByRange(files, order).withColumn("_slice", F.spark_partition_id())
+    ranged.write.partitionBy("_slice").parquet(cuts)
+    for row in spark.read.parquet(cuts).select("_slice").distinct().orderBy("_slice").collect():  # one per slice
+        spark.read.schema(df.schema).parquet(f"{cuts}/_slice={row[0]}").coalesce(1).write.mode("append").parquet(path)
     return path
 
 
-def _slices(df, order, files):
-    bounds = df.approxQuantile(order, [k / files for k in range(1, files)], 0.001)
-    edges = [None, *bounds, None]
-    for low, high in zip(edges, edges[1:]):
-        part = df
-        if low is not None:
-            part = part.where(F.col(order) > low)
-        if high is not None:
-            part = part.where(F.col(order) <= high)
-        yield part
-
-
 @query(
     f"""WITH {i.PAIRS}, x AS (
 SELECT conv_id AS item_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pair_pos,
