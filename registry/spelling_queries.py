@@ -14,7 +14,8 @@ from quaestor.operators import speller
 from quaestor.operators import spelling as sp
 from quaestor.operators import vectors as ve
 from quaestor.session import cut, scratch_path
-from quaestor.streaming import jobs
+from quaestor.plans.cascade import Knowledge, answer
+from quaestor.streaming import conversation, jobs
 from registry import inputs as i
 from registry.corpus_queries import _HITS_SQL, r6
 from registry.search_queries import _TEXT_SEARCH
@@ -259,6 +260,36 @@ def stream_answer(spark, sf):
     return spark.read.parquet(out).select("query_id", "answer", r6("similarity"))
 
 
+@query(
+    """WITH asked AS (SELECT conv_id, turn AS said, text FROM conversations
+  WHERE role = 'user' AND regexp_matches(text, '[^\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]')),
+placed AS (SELECT *, 2 * (row_number() OVER (PARTITION BY conv_id ORDER BY said) - 1) AS turn FROM asked)
+SELECT conv_id, turn, 'user' AS role, text FROM placed
+UNION ALL SELECT conv_id, turn + 1, 'assistant', NULL FROM placed"""
+)
+def stream_conversations(spark, sf):
+    """Every user turn answered by the whole cascade as it arrives, by conversation; answers are
+    compared as present, since the cascade has a query of its own."""
+    corpus = cut(i.embedded_corpus(spark, sf))
+    vocabulary = cut(sp.learn_vocabulary(corpus, "question"))
+    known = Knowledge(corpus, sp.domain_terms(vocabulary), vocabulary, i.ENCODER)
+    turns = i.table(spark, sf, "conversations").where("role = 'user'")
+    asked = turns.select(
+        "conv_id", (F.col("conv_id") * 100000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"),
+        F.timestamp_seconds(F.col("turn") * 60 + 1_700_000_000).alias("asked_at"),
+    ).where(F.length(tx.strip(F.col("query"))) > 0)
+    source = _as_files(asked, "asked_at", 2)
+    history = scratch_path(spark, "history")
+    stream = jobs.read_files(spark, source, asked.schema)
+    _drain(
+        conversation.converse(
+            stream, lambda batch: answer(batch, known), scratch_path(spark, "answers"), history, scratch_path(spark, "state")
+        )
+    )
+    told = spark.read.parquet(history)
+    return told.select("conv_id", "turn", "role", F.when(F.col("role") == "user", F.col("text")).alias("text"))
+
+
 @query(f"SELECT event_id, key FROM ({_HITS_SQL}) WHERE NOT hit")
 def stream_repeat_suppress(spark, sf):
     events = i.accesses(spark, sf).withColumn("at", F.unix_micros("ts").cast("double"))
