@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quaestor import schemas
 from quaestor.operators.embed import manifest, validate
 from quaestor.operators.spelling import export_vocabulary
+from quaestor.sources import versions
 
 REUSE_SHARE = 0.8  # fixed value: a snapshot may fall this far short of what was expected
 
@@ -20,21 +21,24 @@ def read_items(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 def write_snapshot(
     corpus: DataFrame, path: str, dataset: str, max_faqs: int | None, created_at: Column
 ) -> None:
-    """The processed corpus and a one-row manifest beside it."""
-    corpus.write.mode("overwrite").parquet(f"{path}/corpus")
-    stored = corpus.sparkSession.read.parquet(f"{path}/corpus")
-    stored.agg(F.count("*").alias("expected_count")).select(
-        "expected_count",
-        F.lit(dataset).alias("dataset_name"),
-        F.lit(max_faqs).cast("long").alias("max_faqs"),
-        created_at.alias("created_at"),
-    ).write.mode("overwrite").parquet(f"{path}/manifest")
+    """The processed corpus and its manifest, published together as one version."""
+
+    def describe(stored: dict[str, DataFrame]) -> DataFrame:
+        return stored["corpus"].agg(F.count("*").alias("expected_count")).select(
+            "expected_count",
+            F.lit(dataset).alias("dataset_name"),
+            F.lit(max_faqs).cast("long").alias("max_faqs"),
+            created_at.alias("created_at"),
+        )
+
+    versions.publish({"corpus": corpus}, path, describe)
 
 
 def snapshot_status(spark: SparkSession, path: str, max_faqs: int | None = None) -> DataFrame:
     """Manifest, stored rows and whether the snapshot serves a corpus of `max_faqs`."""
-    rows = spark.read.parquet(f"{path}/corpus").agg(F.count("*").alias("row_count"))
-    described = spark.read.parquet(f"{path}/manifest").unionByName(rows, allowMissingColumns=True)
+    version = versions.latest(spark, path)
+    rows = versions.table(spark, path, "corpus", version).agg(F.count("*").alias("row_count"))
+    described = versions.described(spark, path, version).unionByName(rows, allowMissingColumns=True)
     one = described.agg(*[F.max(c).alias(c) for c in described.columns])
     enough = (
         F.col("row_count") >= F.least(F.lit(float(max_faqs)), F.col("expected_count") * REUSE_SHARE)
@@ -48,22 +52,22 @@ def load_snapshot(spark: SparkSession, path: str, max_faqs: int | None = None) -
     """The stored corpus, or None if it has to be built again."""
     if not snapshot_status(spark, path, max_faqs).first()["reusable"]:
         return None
-    return spark.read.parquet(f"{path}/corpus")
+    return versions.table(spark, path, "corpus")
 
 
 def write_vectors(
     store: DataFrame, path: str, model: str, dataset: str, max_faqs: int | None, created_at: Column
 ) -> None:
-    """Vectors (key, embedding) and their manifest."""
-    store.write.mode("overwrite").parquet(f"{path}/vectors")
-    stored = store.sparkSession.read.parquet(f"{path}/vectors")
-    manifest(stored, model, dataset, max_faqs, created_at).write.mode("overwrite").parquet(
-        f"{path}/manifest"
+    """Vectors (key, embedding) and their manifest, published together as one version."""
+    versions.publish(
+        {"vectors": store}, path, lambda stored: manifest(stored["vectors"], model, dataset, max_faqs, created_at)
     )
 
 
 def read_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/manifest")
+    """Vectors and manifest of one version, the last."""
+    version = versions.latest(spark, path)
+    return versions.table(spark, path, "vectors", version), versions.described(spark, path, version)
 
 
 def load_vectors(

@@ -11,6 +11,7 @@ from quaestor.operators import spelling as sp
 from quaestor.operators import vectors as ve
 from quaestor.plans.cascade import Knowledge, answer
 from quaestor.session import cut, scratch_path
+from quaestor.sources import cellstore
 from quaestor.sources import tables as tb
 from registry import inputs as i
 from registry.corpus_queries import r6
@@ -196,6 +197,16 @@ def knn_ivf_probes(spark, sf):
     return _matches(ve.knn_cells(i.mixed_vectors(spark, sf), index, 5))
 
 
+@query(_knn_sql(i.VECTORS, 5, l2=True))
+def knn_stored_cells(spark, sf):
+    """An index written, appended to and loaded again; all cells probed, so the result is exact."""
+    path = scratch_path(spark, "cells")
+    first = F.col("faq_id") % 2 == 0  # the other half is appended: the index holds every vector
+    cellstore.create(ve.build_cells(i.vectors(spark, sf).where(first)), path)
+    cellstore.append(i.vectors(spark, sf).where(~first), path)
+    return _matches(cellstore.search(i.mixed_vectors(spark, sf), cellstore.load(spark, path), 5))
+
+
 @query()
 def knn_lsh(spark, sf):
     return _matches(ve.knn_lsh(i.mixed_vectors(spark, sf), i.vectors(spark, sf), 5))
