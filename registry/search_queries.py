@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quaestor.functions import text as tx
 from quaestor.operators import embed as em
 from quaestor.operators import fuzzy as fz
+from quaestor.operators import graphs as gr
 from quaestor.operators import spelling as sp
 from quaestor.operators import vectors as ve
 from quaestor.plans.cascade import Knowledge, answer
@@ -207,6 +208,12 @@ def knn_stored_cells(spark, sf):
     return _matches(cellstore.search(i.mixed_vectors(spark, sf), cellstore.load(spark, path), 5))
 
 
+@query()
+def knn_graph(spark, sf):
+    """Graph search, its beam measured for a recall of 0.9: approximate."""
+    return _matches(gr.knn_graph(i.mixed_vectors(spark, sf), gr.build_graph(i.vectors(spark, sf)), 5))
+
+
 @query()
 def knn_lsh(spark, sf):
     return _matches(ve.knn_lsh(i.mixed_vectors(spark, sf), i.vectors(spark, sf), 5))
