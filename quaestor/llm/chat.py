@@ -81,7 +81,7 @@ def field_paths(value, prefix: str = "") -> set[str]:
 
 
 def fingerprint(paths: set[str]) -> str:
-    return hashlib.sha1("\n".join(sorted(paths)).encode()).hexdigest()
+    return hashlib.sha1("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 BY_FINGERPRINT = {fingerprint(p): m for m in MAPPINGS for p in m.paths()}
@@ -90,20 +90,28 @@ BY_FINGERPRINT = {fingerprint(p): m for m in MAPPINGS for p in m.paths()}
 def _string(value) -> str:
     if value is None:
         return ""
-    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    # half of a surrogate pair, which JSON can escape, is no character
+    return text.encode("utf-8", "replace").decode()
 
 
 def turns_of(record: str | None) -> tuple[str | None, list[tuple[str, str]]]:
-    """Layout name and canonical (role, text) turns of one record."""
+    """Layout name and canonical (role, text) turns of one record. What is no JSON, is nested too
+    deeply to be read, or has something else where a layout has its list of objects, has no layout."""
     try:
-        value = json.loads(record or "")
-    except ValueError:
+        return _turns(json.loads(record or ""))
+    except (ValueError, RecursionError):
         return None, []
+
+
+def _turns(value) -> tuple[str | None, list[tuple[str, str]]]:
     mapping = BY_FINGERPRINT.get(fingerprint(field_paths(value))) if isinstance(value, dict) else None
     if mapping is None:
         return None, []
     if mapping.listed:
-        items = value[mapping.listed] or []
+        items = [] if value[mapping.listed] is None else value[mapping.listed]
+        if not isinstance(items, list) or not all(isinstance(i, dict) for i in items):
+            return None, []
         names = [_string(i.get(mapping.role)) for i in items]
         return mapping.name, [(mapping.roles.get(n, n), _string(i.get(mapping.text))) for n, i in zip(names, items)]
     out: list[tuple[str, str]] = []

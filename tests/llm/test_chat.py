@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -58,3 +59,21 @@ def test_digests_and_odd_rows(spark):
         assert (out[conv].loss_chars, out[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     empty = chat.canonical_turns(chat.as_records(table.limit(0)), ("conv_id", "turn"))
     assert empty.collect() == []
+
+
+@pytest.mark.parametrize(
+    "record",
+    ['{"messages":5}', '{"messages":"abc"}', '{"messages":0}', '{"conversations":true}', "[" * 100_000, '{"messages":' + "[" * 100_000,
+     '{"messages":[{"role":"user","content":"x"},"y"]}', '{"messages":[{"role":"user","content":"x"},[1]]}', '{"prompt":' + "1" * 5000 + "}",
+     '"text"', "7", "{", "", None, '{"\\ud800":1}'],
+)
+def test_other_shapes_have_no_layout(record):
+    assert chat.turns_of(record) == (None, [])
+
+
+def test_half_pairs_through_arrow(spark):
+    records = [(1, '{"prompt":"a\\ud800b","completion":"c"}'), (2, '{"messages":null}'), (3, '{"messages":5}')]
+    rows = chat.canonical_turns(spark.createDataFrame(records, "id long, record string"), ("id",)).collect()
+    assert [(r.id, r.layout, r.role, r.text) for r in rows] == [
+        (1, "prompt_completion", "user", "a?b"), (1, "prompt_completion", "assistant", "c"), (3, None, None, None),
+    ]
