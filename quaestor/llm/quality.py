@@ -27,6 +27,7 @@ WORD_DIM = 16
 HIDDEN = 24
 SAMPLE_ROWS = 8_000  # bound of the training sample
 PREDICTED_FROM = 0.3
+DECIMALS = 9
 _PROJECTION = np.random.default_rng(11).normal(0, 1, (BUCKETS, WORD_DIM)).astype(np.float32)
 FEATURES = WORD_DIM + 9
 
@@ -172,7 +173,9 @@ class AttentionModel:
         return self
 
     def score(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return self.forward(x, first)["y"].astype(np.float64)
+        """In double precision and rounded, so that a text's score does not depend on the rows
+        it is multiplied with."""
+        return np.round(self.forward(x.astype(np.float64), first)["y"], DECIMALS)
 
 
 def _bags(part: pa.RecordBatch) -> dict:
