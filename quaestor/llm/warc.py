@@ -9,8 +9,9 @@ one reading task holds (a single larger record has its own archive).
 Defined cases: a null payload is empty; a null or odd url is stored percent-encoded; rows
 repeated under one page_id are written once each, and all of them are responses where theirs
 is the largest page_id of the payload; a null page_id is never referred to; an empty table
-gives no archive. Damaged archives give rows whose `problem` says what is wrong, and the
-records before the damage are kept.
+gives no archive. `read` takes archives of any writer and all record types; what is damaged gives
+rows whose `problem` says what is wrong, and the records before the damage are kept. In own
+archives (`archive`, `read_manifest`) damage is an error.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm.arrays import map_slices, tuned
+from quaestor.llm.arrays import BATCH_BYTES, tuned
+from quaestor.llm.graph import stored
 from quaestor.session import scratch_path
 
 # fixed values of the format
@@ -41,7 +43,8 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_ROWS = 1_000  # bound of the sample that the dictionary is trained on
 SAMPLE_BYTES = 16 << 10  # of each sampled payload
 LEVEL = 3
-REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest", "x-payload-length")
+ARCHIVES_PER_TASK = 16
+REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 
 # --- roles of the records -------------------------------------------------------------------
@@ -195,90 +198,189 @@ def records(content: bytes) -> Iterator[bytes]:
     while at < len(data):
         end = frame_end(data, at)
         try:
-            yield unpacker.decompress(data[at:end])
+            # streaming writers leave out the content's size
+            frame = unpacker.decompressobj()
+            record = frame.decompress(data[at:end])
         except zstandard.ZstdError as e:
             raise Damaged(f"a frame does not decode: {e}") from None
+        if not frame.eof:
+            raise Damaged("a frame is cut off")
+        yield record
         at = end
 
 
+def _sha1(label: str) -> str | None:
+    """Lower-case hex of a SHA-1 label in base 32 or 16; None for other algorithms."""
+    algorithm, _, value = label.partition(":")
+    if algorithm.lower() != "sha1":
+        return None
+    try:
+        return (bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())).hex()
+    except ValueError:
+        raise Damaged("a digest does not parse") from None
+
+
+def _identifier(uri: str) -> str:
+    return uri.removeprefix("<").removesuffix(">").removeprefix("urn:x-page:")
+
+
+def _headers(head: bytes) -> dict[str, str]:
+    """Names in lower case; a line that begins with white space continues the one before."""
+    fields: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        if not colon:
+            raise Damaged("a header does not parse")
+        name = name.strip().lower()
+        fields[name] = value.strip()
+    return fields
+
+
 def decode_record(record: bytes) -> dict:
-    """Headers checked against each other, the lengths and the payload."""
+    """Headers, lengths and digests checked against each other. The payload is what follows the HTTP
+    header in responses, requests and revisits that have one, and the whole block in all others.
+    A digest that is not given is computed; that and the size of a revisit's payload are null
+    unless the record names them. Digests of other algorithms than SHA-1 are not checked."""
     head, gap, rest = record.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    if not gap or lines[0] not in ("WARC/1.0", "WARC/1.1"):
+    if not gap or head.partition(b"\r\n")[0] not in (b"WARC/1.0", b"WARC/1.1"):
         raise Damaged("no WARC header")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    fields = _headers(head)
     if missing := [f for f in REQUIRED if f not in fields]:
         raise Damaged(f"header {missing[0]} is missing")
     try:
-        length, size = int(fields["content-length"]), int(fields["x-payload-length"])
-        digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
+        length = int(fields["content-length"])
+        size = int(fields["x-payload-length"]) if "x-payload-length" in fields else None
     except ValueError:
         raise Damaged("a header does not parse") from None
-    if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
+    if length < 0 or len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise Damaged("the record's length differs from its header")
-    http, gap, payload = rest[:length].partition(b"\r\n\r\n")
-    if not gap or not http.startswith(b"HTTP/"):
-        raise Damaged("no HTTP header")
-    kind = fields["warc-type"]
+    kind, block = fields["warc-type"].lower(), rest[:length]
+    payload = block
+    if fields.get("content-type", "").lower().startswith("application/http") and (block or kind != "revisit"):
+        http, gap, payload = block.partition(b"\r\n\r\n")
+        if not gap or kind != "request" and not http.startswith(b"HTTP/"):
+            raise Damaged("no HTTP header")
+    whole = _sha1(fields.get("warc-block-digest", ""))
+    if whole and hashlib.sha1(block).hexdigest() != whole:
+        raise Damaged("the block differs from its digest")
+    digest = _sha1(fields.get("warc-payload-digest", ""))
     refers_to = fields.get("warc-refers-to")
-    if kind == "response":
-        if len(payload) != size or hashlib.sha1(payload).hexdigest() != digest:
+    if kind == "revisit":
+        if payload or refers_to is None and "warc-refers-to-target-uri" not in fields:
+            raise Damaged("a revisit with a payload, or of nothing")
+    elif "warc-segment-number" not in fields:  # a segment's digest and size are those of the whole
+        found = hashlib.sha1(payload).hexdigest()
+        if size is not None and len(payload) != size or digest is not None and found != digest:
             raise Damaged("the payload differs from its digest or length")
-    elif kind != "revisit" or refers_to is None or payload:
-        raise Damaged("neither a response nor a revisit")
-    page = lambda u: u.removeprefix("<urn:x-page:").removesuffix(">")
+        size, digest = len(payload), found
     return {
-        "page_id": page(fields["warc-record-id"]),
+        "page_id": _identifier(fields["warc-record-id"]),
         "url": urllib.parse.unquote(fields.get("warc-target-uri", "")),
         "payload_bytes": size,
         "payload_digest": digest,
         "record_type": kind,
-        "refers_to": page(refers_to) if refers_to else None,
-        "payload": payload if kind == "response" else None,
+        "refers_to": _identifier(refers_to) if refers_to else None,
+        "payload": payload if kind != "revisit" else None,
     }
 
 
 FIELDS = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "problem")
 
 
-def read(spark: SparkSession, paths: list[str], payloads: bool = True) -> DataFrame:
-    """Records of the archives, one row each: ids as strings, the payload (null for revisits or
-    with `payloads=False`), and `problem`, null for a valid record."""
+TYPES = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string())
+SCHEMA = (
+    "page_id string, url string, payload_bytes long, payload_digest string, record_type string, "
+    "refers_to string, payload binary, problem string"
+)
 
-    def run(batch: pa.RecordBatch):
-        rows = []
-        for content in batch.column("content"):
+
+def _rows(content: bytes) -> Iterator[dict]:
+    """Records and, with their `problem`, what is damaged. Nothing is found after a broken frame."""
+    try:
+        for record in records(content):
             try:
-                for record in records(content.as_py()):
-                    try:
-                        rows.append(decode_record(record) | {"problem": None})
-                    except Damaged as e:
-                        rows.append({"problem": str(e)})
+                yield decode_record(record) | {"problem": None}
             except Damaged as e:
-                rows.append({"problem": str(e)})
-        if not payloads:
-            rows = [r | {"payload": None} for r in rows]
-        types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string())
-        return {f: pa.array([r.get(f) for r in rows], t) for f, t in zip(FIELDS, types)}
-
-    schema = (
-        "page_id string, url string, payload_bytes long, payload_digest string, record_type string, "
-        "refers_to string, payload binary, problem string"
-    )
+                yield {"problem": str(e)}
+    except Damaged as e:
+        yield {"problem": str(e)}
+
+
+def _batches(rows: Iterator[dict], payloads: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded bytes; a larger record is alone."""
+    some, size = [], 0
+
+    def close():
+        batch = pa.record_batch([pa.array([r.get(f) for r in some], t) for f, t in zip(FIELDS, TYPES)], names=list(FIELDS))
+        some.clear()
+        return batch
+
+    for row in rows:
+        row = row if payloads else row | {"payload": None}
+        some.append(row)
+        size += len(row.get("payload") or b"") + 500
+        if size > BATCH_BYTES:
+            yield close()
+            size = 0
+    if some:
+        yield close()
+
+
+def read(spark: SparkSession, paths: list[str], payloads: bool = True) -> DataFrame:
+    """Records of the given archives or folders, one row each: ids as strings, the payload (null for
+    revisits or with `payloads=False`), and `problem`, null for a valid record. Archives of other
+    writers may hold any record type; see `decode_record`."""
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                yield from _batches(_rows(content.as_py()), payloads)
+
     if not paths:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], SCHEMA)
     # archives are whole rows: one or two to a batch
     files = spark.read.format("binaryFile").load(paths).select("content")
-    return map_slices(files, run, schema, "content")
+    return tuned(files).mapInArrow(run, SCHEMA)
+
+
+def read_manifest(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """Records of the archives that a stored manifest (`path`, `n_records`) names. Tasks open them, so
+    the driver knows no names; a damaged record, or an archive of another number, is an error."""
+    spark = manifest.sparkSession
+
+    def checked(name: str, content: bytes, want: int) -> Iterator[dict]:
+        n = 0
+        for row in _rows(content):
+            if row["problem"] is not None:
+                raise Damaged(f"{name}, record {n}: {row['problem']}")
+            n += 1
+            yield row
+        if n != want:
+            raise Damaged(f"{name} has {n} records, not {want}")
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, want in zip(batch.column("path").to_pylist(), batch.column("n_records").to_pylist()):
+                with store.open_input_stream(f"{base}/{name}", compression=None) as archived:
+                    content = archived.read()
+                yield from _batches(checked(name, content, want), payloads)
+
+    n = manifest.count()
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, n // ARCHIVES_PER_TASK)))
+    return tuned(manifest.select("path", "n_records").repartition(tasks)).mapInArrow(run, SCHEMA)
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write every page to archives in `folder` (a fresh shared one by default) and read them
-    back. The driver learns the archives' names only."""
-    spark = pages.sparkSession
-    folder = folder or scratch_path(spark, "warc")
+    back."""
+    folder = folder or scratch_path(pages.sparkSession, "warc")
     dictionary = train_dictionary(pages)
-    manifest = write(plan(pages), folder, dictionary)
-    names = sorted(r["path"] for r in manifest.collect())
-    return read(spark, [f"{folder}/{n}" for n in names], payloads=False)
+    manifest = stored(write(plan(pages), folder, dictionary), "manifest")
+    return read_manifest(manifest, folder, payloads=False)

@@ -74,3 +74,53 @@ def test_records_before_the_damage_are_kept(spark, tmp_path):
     assert [r.page_id for r in rows] == ["1", None, "2", None]
     assert [r.problem is None for r in rows] == [True, False, True, False]
     assert bytes(rows[0].payload) == b"abc"
+
+
+def plain(kind, block, *headers):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1-2>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Length: {len(block)}", *headers]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """No content sizes, all record types, headers that fold or repeat, digests in hex or of other kinds."""
+    http = "Content-Type: application/http; msgtype=response"
+    hexed = hashlib.sha1(b"body").hexdigest()
+    ok = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"
+    given = [
+        (plain("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), b"software: x\r\n"),
+        (plain("request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", "Content-Type: application/http; msgtype=request"), b""),
+        (plain("response", ok, http, f"WARC-Payload-Digest: sha1:{hexed}", "WARC-Concurrent-To: <a>", "WARC-Concurrent-To: <b>"), b"body"),
+        (plain("response", ok, "Content-Type: application/http;", " msgtype=response", "WARC-Payload-Digest: md5:00"), b"body"),
+        (plain("response", b"1 2 3", "Content-Type: text/dns"), b"1 2 3"),
+        (plain("metadata", b""), b""),
+        (plain("resource", b"x" * 3_000_000, "WARC-Target-URI: file:///a%20b"), b"x" * 3_000_000),
+        (plain("revisit", b"", http, "WARC-Refers-To: <urn:uuid:9>"), None),
+        (plain("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", http, "WARC-Refers-To-Target-URI: http://h/"), None),
+        (plain("continuation", b"end", "WARC-Segment-Number: 2", "WARC-Payload-Digest: sha1:" + "0" * 40), b"end"),
+    ]
+    streamed = b""
+    for r, _ in given:
+        writer = zstandard.ZstdCompressor(write_content_size=False).compressobj()
+        streamed += writer.compress(r) + writer.flush()
+    (tmp_path / "other.warc.zst").write_bytes(streamed)
+    rows = warc.read(spark, [str(tmp_path)]).collect()
+    assert [r.problem for r in rows] == [None] * len(given)
+    assert [r.payload and bytes(r.payload) for r in rows] == [p or (b"" if p is not None else None) for _, p in given]
+    assert rows[0].page_id == "urn:uuid:1-2" and rows[6].url == "file:///a b" and rows[7].refers_to == "urn:uuid:9"
+    assert rows[2].payload_digest == rows[3].payload_digest == hexed and rows[2].payload_bytes == 4
+    for bad in (plain("response", ok, http, "WARC-Block-Digest: sha1:" + "0" * 40), plain("response", ok, http, "WARC-Payload-Digest: sha1:?"),
+                plain("response", b"no header", http), plain("revisit", b"", http), plain("metadata", b"x", "no colon")):
+        with pytest.raises(warc.Damaged):
+            warc.decode_record(bad)
+
+
+def test_own_archives_must_be_whole(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "http://h", BIG + str(i)) for i in range(20)], "page_id long, url string, html string")
+    manifest = warc.stored(warc.write(warc.plan(pages), f"file://{tmp_path}"), "manifest")
+    assert warc.read_manifest(manifest, f"file://{tmp_path}").count() == 20
+    with pytest.raises(Exception, match="records, not"):
+        warc.read_manifest(manifest.selectExpr("path", "n_records + 1 AS n_records"), f"file://{tmp_path}").count()
+    archive = next(tmp_path.glob("*.zst"))
+    archive.write_bytes(archive.read_bytes()[:-1])
+    with pytest.raises(Exception, match="cut off"):
+        warc.read_manifest(manifest, f"file://{tmp_path}").count()
