@@ -9,6 +9,9 @@ conversation of any length is never one row.
 Texts may hold anything: every backslash is doubled and a backslash is put inside every
 control string, so a reader that drops each escaping backslash gets the text back.
 
+A text may be a list of strings or of `{"type", "text"}` parts, which are put together as they are.
+Fields of METADATA beside turns or in them, with all below, play no part in the fingerprint.
+
 Defined cases: a null or missing text is empty; a record that is no JSON object or whose
 layout is unknown yields one row with a null `layout` and no text; equal turn numbers are
 ordered by role, then text; an empty table gives empty results.
@@ -26,11 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.arrays import map_slices, tuned
+from quaestor.operators.ordering import running_before
 
 TURN, END = "<|im_start|>", "<|im_end|>\n"
 # what a text must not hold unescaped: this template's marks and those of other public templates
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 LOSS_ROLE = "assistant"
+METADATA = frozenset("id name source model lang language category tags metadata meta created timestamp weight".split())
+RECORD_TURNS = 8  # of the records that `as_records` makes
 
 
 @dataclass(frozen=True)
@@ -50,15 +56,16 @@ class Mapping:
         """The path sets of this layout, with and without its optional fields."""
         if self.listed:
             inner = {f"{self.listed}[].{self.role}", f"{self.listed}[].{self.text}"}
-            must, may = [inner, set()], self.optional
+            parts = {f"{self.listed}[].{self.text}[].type", f"{self.listed}[].{self.text}[].text"}
+            must, may = [inner, inner | parts, set()], self.optional
             return [({self.listed} | i) | set(o) for i in must for n in range(len(may) + 1) for o in itertools.combinations(may, n)]
         must = {f for _, f in self.fields} - set(self.optional)
         return [must | set(o) for n in range(len(self.optional) + 1) for o in itertools.combinations(self.optional, n)]
 
 
 MAPPINGS = (
-    Mapping("messages", listed="messages", optional=("id",)),
-    Mapping("conversations", listed="conversations", role="from", text="value", roles={"human": "user", "gpt": "assistant"}, optional=("id",)),
+    Mapping("messages", listed="messages"),
+    Mapping("conversations", listed="conversations", role="from", text="value", roles={"human": "user", "gpt": "assistant"}),
     Mapping("prompt_completion", (("system", "system"), ("user", "prompt"), ("assistant", "completion")), optional=("system", "completion")),
     Mapping("completion", (("assistant", "completion"),)),
     Mapping("instruction", (("user", "instruction"), ("user", "input"), ("assistant", "output")), optional=("input", "output"), joined=("instruction", "input")),
@@ -68,10 +75,12 @@ MAPPINGS = (
 
 
 def field_paths(value, prefix: str = "") -> set[str]:
-    """All nested field paths; items of a list share the path `[]`."""
+    """All nested field paths but those of METADATA; items of a list share the path `[]`."""
     found: set[str] = set()
     if isinstance(value, dict):
         for key, inner in value.items():
+            if key in METADATA:
+                continue
             path = f"{prefix}.{key}" if prefix else key
             found |= {path} | field_paths(inner, path)
     elif isinstance(value, list):
@@ -95,6 +104,13 @@ def _string(value) -> str:
     return text.encode("utf-8", "replace").decode()
 
 
+def _text(value) -> str:
+    """A text given as such or in parts."""
+    if isinstance(value, list) and all(isinstance(v, str) or isinstance(v, dict) and "text" in v for v in value):
+        return "".join(_string(v if isinstance(v, str) else v["text"]) for v in value)
+    return _string(value)
+
+
 def turns_of(record: str | None) -> tuple[str | None, list[tuple[str, str]]]:
     """Layout name and canonical (role, text) turns of one record. What is no JSON, is nested too
     deeply to be read, or has something else where a layout has its list of objects, has no layout."""
@@ -113,12 +129,12 @@ def _turns(value) -> tuple[str | None, list[tuple[str, str]]]:
         if not isinstance(items, list) or not all(isinstance(i, dict) for i in items):
             return None, []
         names = [_string(i.get(mapping.role)) for i in items]
-        return mapping.name, [(mapping.roles.get(n, n), _string(i.get(mapping.text))) for n, i in zip(names, items)]
+        return mapping.name, [(mapping.roles.get(n, n), _text(i.get(mapping.text))) for n, i in zip(names, items)]
     out: list[tuple[str, str]] = []
     for role, name in mapping.fields:
         if name not in value:
             continue
-        text = _string(value[name])
+        text = _text(value[name])
         if name in mapping.joined and out and out[-1][0] == role:
             if text:
                 out[-1] = (role, f"{out[-1][1]}\n\n{text}")
@@ -235,21 +251,30 @@ def digest(turns: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def as_records(conversations: DataFrame) -> DataFrame:
-    """Every row as a JSON record in one of four public layouts, by conversation; roles that a
-    layout has no place for stay in the `messages` layout."""
-    text = F.coalesce("text", F.lit(""))
-    role = F.coalesce("role", F.lit(""))
-    way = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(4))
-    user, assistant = role == "user", role == "assistant"
-
-    def one(name: str) -> Column:
-        return F.to_json(F.struct(text.alias(name)))
+    """Conversations as JSON records in four public layouts: `conv_id`, `chunk` (the record's place
+    in its conversation), `record`.
 
+    Two layouts list up to RECORD_TURNS turns in a row, two hold a user's turn and the answer to
+    it; runs of turns that a layout has no place for are in the `messages` layout. Turns are dealt
+    by their position in the conversation, which comes from a range sort, so that a conversation
+    of any length is cut into records of bounded length.
+    """
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = running_before(rows, ["conv_id"], ["turn", "role", "text"], out="place")
+    way = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(4))
+    chunk = F.floor(F.col("place") / F.when(way < 2, RECORD_TURNS).otherwise(2))
+    # at most RECORD_TURNS rows to a group
+    dealt = placed.withColumn("chunk", chunk).groupBy("conv_id", "chunk").agg(
+        F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("t")
+    )
+    roles, first, second = F.col("t.role"), F.col("t")[0]["text"], F.get("t", 1)["text"]
+    pair = roles == F.array(F.lit("user"), F.lit("assistant"))
+    named = F.transform("t", lambda t: F.struct(F.when(t["role"] == "user", "human").otherwise("gpt").alias("from"), t["text"].alias("value")))
+    whole = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
     record = (
-        F.when((way == 1) & (user | assistant), F.to_json(F.struct(F.array(F.struct(
-            F.when(user, "human").otherwise("gpt").alias("from"), text.alias("value"))).alias("conversations"))))
-        .when((way == 2) & user, one("prompt")).when((way == 2) & assistant, one("completion"))
-        .when((way == 3) & user, one("instruction")).when((way == 3) & assistant, one("output"))
-        .otherwise(F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages"))))
-    )
-    return conversations.select("conv_id", "turn", record.alias("record"))
+        F.when((way == 1) & F.forall("t", lambda t: t["role"].isin("user", "assistant")), F.to_json(F.struct(named.alias("conversations"))))
+        .when((way == 2) & pair, F.to_json(F.struct(first.alias("prompt"), second.alias("completion"))))
+        .when((way == 3) & pair, F.to_json(F.struct(first.alias("instruction"), second.alias("output"))))
+        .otherwise(F.to_json(F.struct(whole.alias("messages"))))
+    )
+    return dealt.select("conv_id", "chunk", record.alias("record"))

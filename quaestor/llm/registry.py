@@ -228,9 +228,9 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], rows.schema)
     records = chat.as_records(rows.unionByName(extra))
-    pieces = chat.format_turns(chat.canonical_turns(records, ("conv_id", "turn")))
-    back = chat.read_back(pieces.select("conv_id", "turn", "part", "piece", "loss_from", "loss_len"))
-    return chat.digest(back, "conv_id", ["turn", "part", "role", "text"])
+    pieces = chat.format_turns(chat.canonical_turns(records, ("conv_id", "chunk")))
+    back = chat.read_back(pieces.select("conv_id", "chunk", "part", "piece", "loss_from", "loss_len"))
+    return chat.digest(back, "conv_id", ["chunk", "part"])
 
 
 OP9_SQL = r"""
