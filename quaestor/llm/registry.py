@@ -9,6 +9,7 @@ import corpus_pipeline
 from quaestor.llm import (
     chat, decontaminate, fim, html, langid, linededup, merkle, mixture, neardup, quality, rules, simhash, warc,
 )
+from quaestor.llm.graph import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -179,6 +180,29 @@ FROM bits
 """
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every policy version and rule, what the policy keeps with and without it: the ledger is
+    stored once, and all answers come from its bits."""
+    bits = rules.ledger(_table(spark, sf_dir, "documents")).select("doc_id", "failed")
+    return rules.all_ablations(stored(bits, "ledger"))
+
+
+_RULE_ROWS = ", ".join(
+    f"({p}, '{name}', {rules.mask((name,))}, {rules.mask(names)})" for p, names in rules.POLICIES.items() for name in names
+)
+ABLATIONS_SQL = f"""
+WITH patterns AS (
+  SELECT failed, count(*) AS n FROM ({OP4_SQL}) GROUP BY failed
+), r(policy, rule, bit, bits) AS (VALUES {_RULE_ROWS})
+SELECT policy, rule,
+       CAST(sum(CASE WHEN failed & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS n_failed,
+       CAST(sum(CASE WHEN failed & bits = bit THEN n ELSE 0 END) AS BIGINT) AS n_failed_alone,
+       CAST(sum(CASE WHEN failed & bits = 0 THEN n ELSE 0 END) AS BIGINT) AS n_kept,
+       CAST(sum(CASE WHEN failed & bits IN (0, bit) THEN n ELSE 0 END) AS BIGINT) AS n_kept_without
+FROM patterns, r GROUP BY policy, rule
+"""
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; no SQL, accuracy is tested on the held-out rows."""
     return langid.identify(_table(spark, sf_dir, "documents")).select(
@@ -379,6 +403,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_mixture": op3_mixture,
     "op4_quality_rules": op4_quality_rules,
+    "quality_rule_ablations": quality_rule_ablations,
     "op5_language_id": op5_language_id,
     "op6_minhash": op6_minhash,
     "op7_html_extraction": op7_html_extraction,
@@ -395,6 +420,7 @@ SQL = {
     "op2_decontamination": OP2_SQL,
     "op3_mixture": mixture_sql("documents"),
     "op4_quality_rules": OP4_SQL,
+    "quality_rule_ablations": ABLATIONS_SQL,
     "op8_warc": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
     "op11_merkle": OP11_SQL,

@@ -10,6 +10,7 @@ space likewise; copies are measured alike; an empty table gives an empty ledger.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -135,6 +136,12 @@ def ablations(rows: DataFrame, policy: int = CURRENT) -> DataFrame:
     )
 
 
+def all_ablations(rows: DataFrame) -> DataFrame:
+    """`ablations` of every policy version, with `policy`, over a ledger that is best stored."""
+    parts = [ablations(rows, p).select(F.lit(p).alias("policy"), "*") for p in POLICIES]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def judge(docs: DataFrame, policy: int = CURRENT) -> DataFrame:
     """The ledger with `base_failed` and the policy's verdict `kept`."""
     base = F.col("failed").bitwiseAND(F.lit(mask(BASE))) != 0

@@ -42,6 +42,18 @@ def test_ablations_equal_recounting(spark):
         assert found[name].n_kept_without == sum(not m & ~bit for m in masks)
 
 
+def test_every_policy_has_its_ablations(spark):
+    table = docs(spark, [(i, " ".join(["w"] * (i % 7) + [f"x{k}" for k in range(i)] + ["#"] * (i % 5) * 6)) for i in range(90)])
+    rows = rules.ledger(table).cache()
+    masks = [r.failed for r in rows.collect()]
+    found = {(r.policy, r.rule): r for r in rules.all_ablations(rows).collect()}
+    assert set(found) == {(p, name) for p, names in rules.POLICIES.items() for name in names}
+    for (policy, name), r in found.items():
+        bits, bit = rules.mask(rules.POLICIES[policy]), rules.mask((name,))
+        assert r.n_kept == sum(not m & bits for m in masks)
+        assert r.n_failed_alone == sum(m & bits == bit for m in masks) == r.n_kept_without - r.n_kept
+
+
 def test_empty(spark):
     assert rules.judge(docs(spark, [])).collect() == []
     assert rules.ablations(rules.ledger(docs(spark, []))).collect() == []
