@@ -28,6 +28,7 @@ from quaestor.llm.arrays import LOWER, Rolling, _BYTE, buffer, map_slices, segme
 BUCKETS = 1 << 15
 DIM = 16
 ORDERS = (2, 3, 4)
+NAMES_BYTES = 8 << 20  # of distinct languages that may be broadcast
 SAMPLE_PER_LANGUAGE = 600  # about; with SAMPLE_ROWS the bound of the training sample
 SAMPLE_ROWS = 6_000
 CHUNK = 1 << 18  # subwords looked up at a time
@@ -148,10 +149,12 @@ def train(labelled: DataFrame, seed: int = 1) -> LanguageModel:
     about SAMPLE_ROWS in all, drawn by a hash of the id."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    drawn = sizes.agg(F.sum(F.least("_n", F.lit(SAMPLE_PER_LANGUAGE)))).first()[0] or 0
+    drawn, size = sizes.agg(F.sum(F.least("_n", F.lit(SAMPLE_PER_LANGUAGE))), F.sum(F.octet_length("lang") + 16)).first()
+    drawn, size = drawn or 0, size or 0
     each = SAMPLE_PER_LANGUAGE * min(1.0, SAMPLE_ROWS / max(drawn, 1))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    chosen = rows.join(sizes, "lang").where(draw < F.lit(each) / F.col("_n")).select("text", "lang")
+    # texts do not move for the draw, unless there are too many languages to send to every task
+    chosen = rows.join(F.broadcast(sizes) if size <= NAMES_BYTES else sizes, "lang").where(draw < F.lit(each) / F.col("_n")).select("text", "lang")
     sample = map_slices(chosen, _sample_rows, "lang string, buckets array<int>, counts array<int>").toArrow()
     lists = [[x.values.to_numpy() for x in sample.column(c)] for c in ("buckets", "counts")]
     return fit(list(zip(sample.column("lang").to_pylist(), *lists)), seed=seed)
