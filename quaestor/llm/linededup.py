@@ -33,7 +33,6 @@ SHINGLE = 7
 PERCENT = 80
 BANDS = 10
 ROWS = 4
-REMOVED_BROADCAST = 4_000_000  # line numbers
 WHITE = " \t\n\x0b\x0c\r"
 _BINS = BANDS * ROWS
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -174,10 +173,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents with their columns, the text without its removed lines, and two more:
     `__n_lines` (lines with a word) and `__n_removed`."""
     gone = removals(docs).select(F.col("doc_id").alias("__d"), F.col("t").alias("__u"), "removed")
-    gone = stored(gone.withColumnRenamed("removed", "__removed"), "gone")
-    rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("__removed")), F.lit(0))).first()
-    if rows <= similar.IDS_BROADCAST and numbers <= REMOVED_BROADCAST:
-        gone = F.broadcast(gone)
+    gone = similar.bounded(stored(gone.withColumnRenamed("removed", "__removed"), "gone"))
     tagged = docs.withColumn("__t", F.xxhash64("text"))
     joined = tagged.join(gone, F.expr("doc_id <=> __d AND __t = __u"), "left").select(*docs.columns, "__removed")
     names = docs.columns

@@ -9,6 +9,10 @@ a bucket are compared on their full sets, exactly, and nothing is sampled:
 * a larger one gives none. Its members are dealt to blocks of bounded bytes, one task group
   compares two blocks by counting common shingles in a sparse matrix, and returns a spanning
   forest of the links it found: as many rows as members at most, and the same components.
+  First all blocks are compared with one block of pivots. What the links so far leave outside the
+  bucket's largest component is then compared with every member; pairs inside one component
+  would add nothing. A group of near copies so costs its members times two, not squared, and
+  only a bucket of many texts that are not linked at all is compared pair by pair.
 
 Equal large buckets, which copies of one template make in many tables, are compared once.
 
@@ -22,16 +26,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaestor.llm.arrays import slices, tuned
-from quaestor.llm.graph import stored
+from quaestor.llm.graph import components, stored
 
 SMALL = 12
 BLOCK_MEMBERS = 512
 BLOCK_ITEMS = 400_000  # shingles in a block, about
-IDS_BROADCAST = 500_000
+BROADCAST_BYTES = 48 << 20
+ROW_BYTES = 48  # of a broadcast row besides its values
 COLUMNS = 4_096  # of the matrix at a time
 PAIR_BYTES = 256 << 10  # payloads of the pairs decoded at a time
 
@@ -44,9 +50,23 @@ def lists_of(payload: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return payload.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def bounded(df: DataFrame, rows: int = IDS_BROADCAST) -> DataFrame:
-    """A stored table, to be broadcast if it has at most `rows` rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _weight(kind: T.DataType, value: Column) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.StructType):
+        return sum((_weight(f.dataType, value[f.name]) for f in kind.fields), F.lit(16).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        sizes = F.aggregate(value, F.lit(24).cast("long"), lambda total, x: total + _weight(kind.elementType, x))
+        return F.coalesce(sizes, F.lit(24).cast("long"))
+    return F.lit(16 if isinstance(kind, T.DecimalType) else 8).cast("long")
+
+
+def bounded(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """A stored table, to be broadcast if its values take at most `limit` (BROADCAST_BYTES) bytes."""
+    row = sum((_weight(f.dataType, F.col(f.name)) for f in df.schema.fields), F.lit(ROW_BYTES).cast("long"))
+    size = df.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def split_buckets(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -151,36 +171,21 @@ def forest(ids: list, at: np.ndarray, to: np.ndarray) -> list[tuple]:
     return out
 
 
-def large_links(company: DataFrame, payloads: DataFrame, percent: int, decode: Decode | None) -> DataFrame:
-    """Spanning links (100 * common >= percent * union) of the buckets above SMALL."""
-    # an id with several sets may be in a bucket more than once, and would cancel in the xor
-    rows = company.where(F.col("members") > SMALL).dropDuplicates(["key", "id"])
-    same = rows.groupBy("key").agg(
-        F.bit_xor(F.xxhash64("id")).alias("f"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("g"), F.count("*").alias("c")
-    )
-    one = same.groupBy("f", "g", "c").agg(F.min("key").alias("key")).select("key")
-    rows = rows.join(one, "key")
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int")
-    rows = rows.select("key", "id", blocks.alias("blocks"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id")
-    dealt = dealt.join(payloads.select("id", "payload"), "id")
-    kind = company.schema["id"].dataType.simpleString()
+def _compared(dealt: DataFrame, payloads: DataFrame, percent: int, decode: Decode | None) -> DataFrame:
+    """Spanning links of every group (`key`, `p`, `q`) of `dealt`: between its rows of side 0 and
+    of side 1; a row of side 2 is on both."""
+    kind = dealt.schema["id"].dataType.simpleString()
     sets_in = decode or lists_of
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        p = table.column("p")[0].as_py()
-        own = table.column("own").to_numpy()
+        side = table.column("side").to_numpy()
         ids = table.column("id").to_pylist()
-        values, first = sets_in(table.column("payload").chunk(0))
-        sets_ = [values[a:b] for a, b in zip(first[:-1], first[1:])]
-        mine, theirs = np.flatnonzero(own == p), np.flatnonzero(own != p)
-        if not len(theirs) and table.column("q")[0].as_py() == p:
-            theirs = mine
+        mine, theirs = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         found: list[tuple] = []
         if len(mine) and len(theirs):
+            values, first = sets_in(table.column("payload").chunk(0))
+            sets_ = [values[a:b] for a, b in zip(first[:-1], first[1:])]
             both = common([sets_[i] for i in mine], [sets_[i] for i in theirs])
             sizes = np.array([len(s) for s in sets_], np.float64)
             union = sizes[mine][:, None] + sizes[theirs][None, :] - both
@@ -189,9 +194,55 @@ def large_links(company: DataFrame, payloads: DataFrame, percent: int, decode: D
         kept = table.schema.field("id").type
         return pa.table({"a": pa.array([x for x, _ in found], kept), "b": pa.array([y for _, y in found], kept)})
 
+    dealt = dealt.select("key", "p", "q", "side", "id").join(payloads.select("id", "payload"), "id")
     return tuned(dealt).groupBy("key", "p", "q").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
+def _blocks(members: Column, items: Column) -> Column:
+    return F.greatest(F.ceil(members / BLOCK_MEMBERS), F.ceil(items / BLOCK_ITEMS)).cast("int")
+
+
+def _numbers(n: str) -> Column:
+    return F.sequence(F.lit(0), F.col(n) - 1)
+
+
+def large_links(
+    company: DataFrame, payloads: DataFrame, percent: int, decode: Decode | None, known: DataFrame
+) -> DataFrame:
+    """Links (100 * common >= percent * union) that together with `known` span the components of
+    the buckets above SMALL."""
+    # an id with several sets may be in a bucket more than once, and would cancel in the xor
+    rows = company.where(F.col("members") > SMALL).dropDuplicates(["key", "id"])
+    same = rows.groupBy("key").agg(
+        F.bit_xor(F.xxhash64("id")).alias("f"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("g"), F.count("*").alias("c")
+    )
+    one = same.groupBy("f", "g", "c").agg(F.min("key").alias("key")).select("key")
+    rows = rows.join(one, "key").select("key", "id", "n", _blocks(F.col("members"), F.col("items")).alias("blocks"))
+    rows = stored(rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int")), "large")
+    # block 0 holds the pivots: it meets every block, the others meet only it
+    met = rows.withColumn("other", F.explode(F.when(F.col("own") == 0, _numbers("blocks")).otherwise(F.array(F.lit(0)))))
+    side = F.when((F.col("own") == 0) & (F.col("other") == 0), 2).when(F.col("own") == 0, 0).otherwise(1)
+    dealt = met.select("key", F.lit(0).alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "id")
+    found = stored(_compared(dealt, payloads, percent, decode), "pivots")
+    cut = rows.where("blocks > 1")
+    if cut.isEmpty():
+        return found
+    joined = components(found.unionByName(known))
+    placed = cut.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    rest = stored(placed.join(main, "key").where("component <> main").select("key", "id", "n", "blocks"), "rest")
+    parts = rest.groupBy("key").agg(_blocks(F.count("*"), F.sum("n")).alias("parts"))
+    left = rest.join(parts, "key").select(
+        "key", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int").alias("p"),
+        F.explode(_numbers("blocks")).alias("q"), F.lit(0).alias("side"), "id",
+    )
+    right = cut.join(parts, "key").select(
+        "key", F.explode(_numbers("parts")).alias("p"), F.col("own").alias("q"), F.lit(1).alias("side"), "id"
+    )
+    return found.unionByName(_compared(left.unionByName(right), payloads, percent, decode))
+
+
 def links(buckets: DataFrame, payload_of, percent: int, decode: Decode | None = None) -> DataFrame:
     """Links of all buckets, whose ids are whole numbers.
     `payload_of(ids)` gives `id` and `payload` of the ids that share a bucket with another."""
@@ -200,5 +251,5 @@ def links(buckets: DataFrame, payload_of, percent: int, decode: Decode | None =
     ids = few.select(F.col("a").alias("id")).unionByName(few.select(F.col("b").alias("id")))
     ids = stored(ids.unionByName(company.select("id")).distinct(), "ids")
     payloads = stored(payload_of(bounded(ids)), "payloads")
-    exact = verified(few, payloads, percent, decode)
-    return stored(exact.unionByName(large_links(company, payloads, percent, decode)), "links")
+    exact = stored(verified(few, payloads, percent, decode), "exact")
+    return stored(exact.unionByName(large_links(company, payloads, percent, decode, exact)), "links")

@@ -95,6 +95,30 @@ def test_doubled_rows_keep_large_groups_apart(spark):
     assert len(out) == 2 * len(rows) and {r.doc_id: r.component_id for r in out} == want
 
 
+def test_large_bucket_of_several_components(spark, monkeypatch):
+    """One bucket holds a chain, a group of near copies, unlinked sets and an id of two sets."""
+    monkeypatch.setattr(similar, "BLOCK_MEMBERS", 5)
+    rng = random.Random(11)
+    chain = [(i, list(range(10 * i, 10 * i + 100))) for i in range(40)]  # neighbours share 90 of 110
+    copies = [(100 + i, [*range(5000, 5095), *rng.sample(range(6000, 6400), 5)]) for i in range(60)]
+    alone = [(200 + i, list(range(10_000 + 200 * i, 10_090 + 200 * i))) for i in range(12)]
+    rows = [*chain, *copies, *alone, (300, list(range(5000, 5100))), (300, list(range(10_000, 10_100)))]
+    sets = spark.createDataFrame([(i, sorted(s)) for i, s in rows], "id long, payload array<long>")
+    buckets = sets.selectExpr("7L AS key", "id", "size(payload) AS n")
+    edges = [(a, b) for a, x in rows for b, y in rows if a < b and 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y})]
+    found = similar.links(buckets, lambda ids: sets.join(ids, "id", "left_semi"), 80)
+    got = {r.id: r.component for r in graph.components(found).collect()}
+    want = groups({i for i, _ in rows}, edges)
+    assert {i: got.get(i, i) for i in want} == want
+    assert found.count() < 10 * len(rows)
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    table = spark.createDataFrame([(1, [("x" * 1000, 2)]), (2, None)], "id long, found array<struct<t:string,k:int>>")
+    hinted = lambda df: "hint" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(similar.bounded(table, 2000)) and not hinted(similar.bounded(table, 1000))
+
+
 def test_half_keys_find_links_at_the_threshold():
     import numpy as np
 
