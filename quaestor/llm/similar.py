@@ -101,6 +101,28 @@ def small_pairs(company: DataFrame) -> DataFrame:
     return y.where("a <> b").distinct()
 
 
+def overlaps(values: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the common parts of the sorted sets left[k] and right[k], for all k at once."""
+    if len(left) <= 1:  # a very long pair is alone
+        sets_ = [values[first[k] : first[k + 1]] for k in (*left, *right)]
+        return np.array([len(np.intersect1d(*sets_, assume_unique=True))] if len(sets_) else [], np.int64)
+    ranks = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    distinct = int(ranks.max(initial=0)) + 1
+
+    def laid_out(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen sets one after the other, their numbers growing throughout."""
+        sizes = first[which + 1] - first[which]
+        owner = np.repeat(np.arange(len(which)), sizes)
+        at = np.arange(len(owner)) + np.repeat(first[which] - (np.cumsum(sizes) - sizes), sizes)
+        return owner * distinct + ranks[at], owner
+
+    (xs, _), (ys, owner) = laid_out(left), laid_out(right)
+    if not len(xs):
+        return np.zeros(len(left), np.int64)
+    hit = xs[np.minimum(np.searchsorted(xs, ys), len(xs) - 1)] == ys
+    return np.bincount(owner[hit], minlength=len(left))
+
+
 def verified(pairs: DataFrame, payloads: DataFrame, percent: int, decode: Decode | None) -> DataFrame:
     """Pairs of sets with 100 * common >= percent * union."""
     left = payloads.select(F.col("id").alias("a"), F.col("payload").alias("xs"))
@@ -118,14 +140,12 @@ def verified(pairs: DataFrame, payloads: DataFrame, percent: int, decode: Decode
             # a payload that meets many others is decoded once
             coded = pa.concat_arrays([part.column("xs"), part.column("ys")]).dictionary_encode()
             values, first = decode(coded.dictionary)
-            at, keep = coded.indices.to_numpy(), []
-            for i in range(part.num_rows):
-                x, y = (values[first[k] : first[k + 1]] for k in (at[i], at[i + part.num_rows]))
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
+            x, y = coded.indices.to_numpy().astype(np.int64).reshape(2, part.num_rows)
+            size = np.diff(first)
+            fit = np.flatnonzero(100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+            x, y = x[fit], y[fit]
+            both = overlaps(values, first, x, y)
+            keep = fit[100 * both >= percent * (size[x] + size[y] - both)]
             yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return tuned(joined.select("a", "b", "xs", "ys")).mapInArrow(check, f"a {kind}, b {kind}")

@@ -113,6 +113,18 @@ def test_large_bucket_of_several_components(spark, monkeypatch):
     assert found.count() < 10 * len(rows)
 
 
+def test_overlaps_equal_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, k)).astype(np.uint64) << np.uint64(58) for k in (0, 1, 40, 30, 90, 5)]
+    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(6), np.arange(6)))
+    for take in (slice(None), slice(0, 6, 6), slice(0, 0), slice(14, 15)):
+        want = [len({*sets[a]} & {*sets[b]}) for a, b in zip(left[take], right[take])]
+        assert similar.overlaps(np.concatenate(sets), first, left[take], right[take]).tolist() == want
+
+
 def test_broadcasts_are_bounded_by_bytes(spark):
     table = spark.createDataFrame([(1, [("x" * 1000, 2)]), (2, None)], "id long, found array<struct<t:string,k:int>>")
     hinted = lambda df: "hint" in df._jdf.queryExecution().logical().toString().lower()
