@@ -113,9 +113,14 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def distinct_sorted(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of every segment."""
-    parts = [np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:])]
-    begin = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
-    return (np.concatenate(parts) if parts else values[:0]), begin.astype(np.int64)
+    begin = np.asarray(first, np.int64) - first[0]
+    out = values[first[0] : first[-1]].copy()
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+        out[a:b].sort()
+    keep = np.ones(len(out), bool)
+    keep[1:] = out[1:] != out[:-1]
+    keep[begin[:-1][begin[:-1] < len(out)]] = True
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[begin]
 
 
 def segment(op, values: np.ndarray, first: np.ndarray, empty) -> np.ndarray:

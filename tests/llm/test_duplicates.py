@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 
 from quaestor.llm import graph, linededup, neardup, similar
+from quaestor.llm.arrays import distinct_sorted
 
 from .common import ODD, docs
 
@@ -113,6 +114,18 @@ def test_large_bucket_of_several_components(spark, monkeypatch):
     assert found.count() < 10 * len(rows)
 
 
+def test_distinct_sorted_segments():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for sizes in ([0], [0, 3, 0, 0, 40, 1, 0], [5, 5], [1]):
+        values = rng.integers(0, 9, sum(sizes)).astype(np.uint64)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        got, begin = distinct_sorted(values, first)
+        want = [np.unique(values[a:b]).tolist() for a, b in zip(first[:-1], first[1:])]
+        assert [got[a:b].tolist() for a, b in zip(begin[:-1], begin[1:])] == want and len(got) == begin[-1]
+
+
 def test_overlaps_equal_sets():
     import numpy as np
 
