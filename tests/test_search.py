@@ -2,6 +2,7 @@ import random
 from difflib import get_close_matches
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +255,48 @@ def test_fuzzy_match_at_the_end_of_many(spark):
     assert (best.faq_id, best.score) == (2000, 100)
 
 
+def test_fuzzy_compares_equal_texts_once_and_copies_get_their_rows(spark, monkeypatch):
+    met = []
+
+    def join(left, right, *args, **kw):
+        met.append((left.select("_qkey").distinct().count(), right.count()))
+        return block_join(left, right, *args, **kw)
+
+    block_join = fz.block_join
+    monkeypatch.setattr(fz, "block_join", join)
+    questions = ["how to reset a password", "where is the invoice"] * 20
+    corpus = spark.createDataFrame(list(enumerate(questions)), "faq_id long, question string")
+    asked = spark.createDataFrame([(i, "reset a password how to") for i in range(30)], "query_id long, query string")
+    got = fz.fuzzy_match(asked, corpus, k=3).collect()
+    assert {(r.query_id, r["rank"], r.faq_id) for r in got} == {(q, n, 2 * n - 2) for q in range(30) for n in (1, 2, 3)}
+    assert met == [(1, 2)]
+
+
+def test_fuzzy_passes_over_texts_below_the_best(monkeypatch):
+    compared = []
+    common = fz.TextCodes.common
+    monkeypatch.setattr(fz.TextCodes, "common", lambda self, keys, left, which: compared.append(len(which)) or common(self, keys, left, which))
+    rng = random.Random(7)
+    texts = ["".join(rng.sample("aabbccddeeffgghh", 16)) for _ in range(500)]
+    texts += ["".join(rng.sample("aabbccddeeffggxyz", 16)) for _ in range(500)] + ["aabbccddeeffgghhi"]
+    rhs = pd.DataFrame({"_ckey": texts, "_clen": 16, "_ids": [[i] for i in range(len(texts))]})
+    lhs = pd.DataFrame({"_qkey": ["aabbccddeeffgghhi"], "_qlen": [17], "_floor": [70]})
+    out = fz._score_blocks(1)(lhs, rhs)
+    assert out[["faq_id", "score"]].values.tolist() == [[1000, 100]]
+    assert sum(compared) < 20  # all but the first few are bounded below 100
+
+
+def test_fuzzy_floor_over_several_blocks_changes_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    questions = [" ".join(rng.choices(["red", "green", "blue", "dark", "light", "pale"], k=4)) for _ in range(120)]
+    corpus = spark.createDataFrame(list(enumerate(questions)), "faq_id long, question string")
+    asked = spark.createDataFrame([(i, q[:-1]) for i, q in enumerate(questions[:20])], "query_id long, query string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(fz.fuzzy_match(asked, corpus, k=3))
+    monkeypatch.setattr(fz, "TEXT_ROWS", 16)
+    assert rows(fz.fuzzy_match(asked, corpus, k=3)) == want
+
+
 def test_fuzzy_length_gap(spark):
     corpus = spark.createDataFrame([(0, "a" * 40), (1, "a" * 41)], "faq_id long, question string")
     asked = spark.createDataFrame([(0, "a" * 10)], "query_id long, query string")
@@ -298,6 +341,31 @@ def test_close_matches_equal_difflib(spark):
         assert [s for _, s in sorted(got.get(word, []), reverse=True)] == want
 
 
+def test_close_matches_pass_over_bags_below_the_best(monkeypatch):
+    compared = []
+    common = sp.LetterCodes.common
+
+    def counted(self, words, left, right, longest):
+        compared.append(len(left))
+        return common(self, words, left, right, longest)
+
+    monkeypatch.setattr(sp.LetterCodes, "common", counted)
+    rng = random.Random(2)
+    near = ["instalation", "installatio", "nstallation"]
+    far = sorted({"".join(rng.sample("installati", 8)) + "xy" for _ in range(400)})  # bags of 16 / 21
+    out = sp._close_blocks(3, 0.7)(pd.DataFrame({"word": ["installation"]}), pd.DataFrame({"suggestion": near + far}))
+    assert sorted(out["suggestion"]) == sorted(near)
+    assert sum(compared) < 20
+
+
+def test_letter_bags_bound_every_common_subsequence():
+    texts = ["", "aab", "ab\ud800", "日本語", "baa b"]
+    bags = sp.LetterBags(texts)
+    counts = [[sum(min(a.count(ch), b.count(ch)) for ch in set(a)) for b in texts] for a in texts]
+    assert (bags.rows(texts) @ bags.rows(texts).T).astype(int).tolist() == counts
+    assert bags.rows(["zz"]).sum() == 0 and sp.LetterBags([]).rows(["a"]).shape == (1, 1)
+
+
 def test_suggestions_and_words(spark):
     vocabulary = vocab_of(spark, {"receive": 9, "receiver": 2, "deceive": 5, "recieve": 1})
     dictionary = words_of(spark, ["receive", "receiver", "deceive", "hello"])
