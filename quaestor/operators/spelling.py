@@ -25,6 +25,10 @@ SHORT_WORD = 2
 SUGGEST_LONGER_THAN = 3
 CLOSE_CUTOFF = 0.7
 CLOSE_MATCHES = 3
+HIGH_BAG = 0.85  # bags that are tried first
+WORD_ROWS = 2_048
+VOCABULARY_ROWS = 262_144
+CELLS = 8_000_000  # common bags counted at a time
 MAX_SUGGESTIONS = 5
 RULE_CONFIDENCE = 0.9
 WORD_THRESHOLD = 0.8
@@ -136,7 +140,8 @@ def close_matches(
     Exact over the whole vocabulary. Blocks of words meet in one task each; inside a block
     first the common letter bag, then the common subsequence bound the ratio from above;
     candidates are tried from the highest bound down, and a word stops once its n-th ratio
-    beats the next bound.
+    beats the next bound. Candidates of a high bag go first, and others only where their bag
+    reaches the n-th ratio those gave.
     """
     pairs = block_join(
         words.select("word"),
@@ -147,8 +152,8 @@ def close_matches(
         "suggestion",
         _close_blocks(n, cutoff),
         _PAIR_SCHEMA,
-        left_rows=8_192,
-        right_rows=16_384,
+        left_rows=WORD_ROWS,
+        right_rows=VOCABULARY_ROWS,
     )
     return best_per(pairs, "word", [F.desc("ratio"), F.desc("suggestion")], n).drop("rank")
 
@@ -159,57 +164,66 @@ def _close_blocks(n: int, cutoff: float):
             return _pairs([])
         words = sorted(lhs["word"], key=len)
         vocab = sorted(rhs["suggestion"], key=len)
-        codes = LetterCodes(vocab)
         bags = LetterBags(vocab)
         table = bags.rows(vocab).T.copy()
         sizes = np.array([len(v) for v in vocab], dtype=np.float32)
+        # words below 64 letters meet none that are longer
+        codes = LetterCodes(vocab[: np.searchsorted(sizes, 64 * (2 - cutoff) / cutoff + 1, side="right")])
         out = []
         at = 0
         while at < len(words):
             size = len(words[at])
-            end = at
-            while end < len(words) and len(words[end]) == size and end - at < 512:
-                end += 1
-            group = words[at:end]
-            at = end
             # ratio <= 2 * shorter / sum, so only this span of lengths can reach the cutoff
             low = np.searchsorted(sizes, size * cutoff / (2 - cutoff) - 1e-6)
             high = np.searchsorted(sizes, size * (2 - cutoff) / cutoff + 1e-6, side="right")
+            end, most = at, max(1, CELLS // max(1, high - low))
+            while end < len(words) and len(words[end]) == size and end - at < most:
+                end += 1
+            group = words[at:end]
+            at = end
             if low >= high:
                 continue
-            bound = bags.rows(group) @ table[:, low:high]
-            bound *= 2.0
-            bound /= sizes[low:high] + size
-            rows, cols = np.nonzero(bound >= cutoff - 1e-5)
-            if not len(rows):
+            bag = bags.rows(group) @ table[:, low:high]
+            hits = np.flatnonzero(bag >= (sizes[low:high] + size) * np.float32((cutoff - 1e-5) / 2))
+            if not len(hits):
                 continue
-            if size < 64:
-                longest = int(sizes[high - 1])
-                common = codes.common(group, rows, low + cols, longest)
-            else:
-                masks = [char_masks(word) for word in group]
-                common = np.array(
-                    [lcs_length(masks[r], size, vocab[low + c]) for r, c in zip(rows, cols)]
-                )
-            tight = 2.0 * common / (size + sizes[low + cols].astype(np.float64))
-            keep = tight >= cutoff
-            rows, cols, tight = rows[keep], cols[keep], tight[keep]
-            starts = np.searchsorted(rows, np.arange(len(group) + 1))
-            for i, word in enumerate(group):
-                mine = slice(starts[i], starts[i + 1])
-                tries = sorted(
-                    zip(tight[mine].tolist(), (vocab[low + c] for c in cols[mine])), reverse=True
-                )
-                out.extend(_best_close(word, tries, n, cutoff))
+            rows, cols = np.divmod(hits, high - low)
+            cols += low
+            bound = 2.0 * bag.reshape(-1)[hits] / (size + sizes[cols].astype(np.float64))
+
+            def tight(some: np.ndarray) -> np.ndarray:
+                if size < 64:
+                    common = codes.common(group, rows[some], cols[some], int(sizes[high - 1]))
+                else:
+                    masks = {r: char_masks(group[r]) for r in np.unique(rows[some])}
+                    common = [lcs_length(masks[r], size, vocab[c]) for r, c in zip(rows[some], cols[some])]
+                return 2.0 * np.asarray(common, np.int64) / (size + sizes[cols[some]].astype(np.float64))
+
+            best: list[list[tuple[float, str]]] = [[] for _ in group]
+            matchers = [SequenceMatcher(None, "", word) for word in group]
+
+            def try_all(some: np.ndarray) -> None:
+                reach = tight(some)
+                some, reach = some[reach >= cutoff], reach[reach >= cutoff]
+                starts = np.searchsorted(rows[some], np.arange(len(group) + 1))
+                for i in np.unique(rows[some]).tolist():
+                    mine = slice(starts[i], starts[i + 1])
+                    tries = sorted(zip(reach[mine].tolist(), (vocab[c] for c in cols[some[mine]])), reverse=True)
+                    _best_close(matchers[i], tries, best[i], n, cutoff)
+
+            high_bag = bound >= HIGH_BAG
+            try_all(np.flatnonzero(high_bag))
+            floor = np.array([b[-1][0] if len(b) == n else cutoff for b in best])
+            try_all(np.flatnonzero(~high_bag & (bound >= floor[rows])))
+            out.extend((word, candidate, ratio) for word, found in zip(group, best) for ratio, candidate in found)
         return _pairs(out)
 
     return run
 
 
-def _best_close(word, tries, n, cutoff):
-    """`tries` are (bound, candidate), highest bound first."""
-    matcher = SequenceMatcher(None, "", word)
-    best: list[tuple[float, str]] = []
+def _best_close(matcher, tries, best: list[tuple[float, str]], n: int, cutoff: float) -> None:
+    """Puts the n best of `best` and `tries` into `best`; `tries` are (bound, candidate), highest
+    bound first."""
     for bound, candidate in tries:
         if len(best) == n and bound < best[-1][0]:
             break
@@ -219,7 +233,6 @@ def _best_close(word, tries, n, cutoff):
             best.append((ratio, candidate))
             best.sort(reverse=True)
             del best[n:]
-    return [(word, candidate, ratio) for ratio, candidate in best]
 
 
 def _pairs(rows: list) -> pd.DataFrame:
