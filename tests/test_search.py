@@ -116,6 +116,16 @@ def test_hashing_answers_lonely_queries_exactly(cloud):
     assert matches(ve.knn_lsh(asked, corpus, 5, bits=40, tables=1)) == matches(ve.knn_l2(asked, corpus, 5))
 
 
+def test_a_task_merges_what_it_found_in_many_places(cloud, monkeypatch):
+    queries, corpus = cloud
+    found = [pd.DataFrame({"query_id": [0, 0, 1], "faq_id": [p, 9, p], "score": [-float(p), -0.5, -1.0]}) for p in (3, 1, 2)]
+    assert ve._merged(found, 2).values.tolist() == [[0, 9, -0.5], [0, 1, -1.0], [1, 1, -1.0], [1, 2, -1.0]]
+    index = ve.build_cells(corpus, 8)
+    want = matches(ve.knn_cells(queries, index, 3, probes=8))
+    monkeypatch.setattr(ve, "MERGED_ROWS", 1)
+    assert matches(ve.knn_cells(queries, index, 3, probes=8)) == want
+
+
 def test_search_is_exact_at_every_size(spark):
     """12,000 short vectors: negative similarities stay, nothing is left out."""
     rng = np.random.default_rng(6)
