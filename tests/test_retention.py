@@ -101,3 +101,23 @@ def test_null_namespaces_are_a_group(spark):
     entries = spark.createDataFrame(rows, "namespace string, key string, accessed_at long, access_count long, size_bytes long")
     gone = rt.evict(entries, 50).collect()
     assert sorted(r.key for r in gone) == [f"k{n}" for n in range(6)]
+
+
+def test_repeats_of_many_keys_share_a_call_and_its_state(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(jobs, "STATE_BUCKETS", 2)
+    day = 86_400
+    rows = [(n, None if n % 40 == 0 else f"k{n % 40}", 10**9 + n // 40 * 50_000) for n in range(200)]
+    for part in range(2):  # two files, the second continues the state of the first
+        some = rows[100 * part : 100 * part + 100]
+        df = spark.createDataFrame(some, "event_id long, key string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.read_files(spark, str(tmp_path / "in"), schemas.ACCESS)
+    plan = jobs.first_of_repeats(stream)._jdf.queryExecution().logical().toString()
+    assert "bucket" in plan  # before, one group and one state were one key
+    jobs.suppress_repeats(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    want, created = set(), {}
+    for event_id, key, s in rows:
+        if key not in created or s - created[key] > day:
+            created[key] = s
+            want.add((event_id, key))
+    assert {(r.event_id, r.key) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
