@@ -220,3 +220,23 @@ def test_line_rows_that_repeat_and_empty_tables(spark):
     # the null id sorts first and keeps the line; equal rows lose it alike
     assert sorted((str(r.doc_id), r.text) for r in out) == [("1", "x"), ("1", "x"), ("2", None), ("None", "a line that repeats")]
     assert linededup.dedup_lines(table.limit(0)).collect() == []
+
+
+def test_finished_stars_are_not_joined_again(spark, monkeypatch):
+    joined = []
+    toward = graph._toward
+    monkeypatch.setattr(graph, "_toward", lambda edges: joined.append(edges.count()) or toward(edges))
+    pairs = [(1000 + 2 * n, 1001 + 2 * n) for n in range(300)] + [(9000, 9001 + n) for n in range(50)]
+    chain = [(n, n + 1) for n in range(12)]
+    links = spark.createDataFrame(pairs + chain, "a long, b long")
+    got = {r.id: r.component for r in graph.components(links).collect()}
+    want = {x: a for a, b in pairs for x in (a, b)} | {n: 0 for n in range(13)}
+    assert got == want
+    assert joined and max(joined) <= 2 * len(chain)  # pairs and stars took no part
+
+
+def test_of_equal_buckets_one_is_joined(spark):
+    rows = [(key, i, 9) for key in range(20) for i in range(6)] + [(99, i, 9) for i in (1, 2, 3, 4, 5, 7)]
+    buckets = spark.createDataFrame(rows, "key long, id long, n long")
+    company = similar.split_buckets(buckets)[1].collect()
+    assert sorted((r.key, r.id) for r in company) == sorted({(0, i) for i in range(6)} | {(99, i) for i in (1, 2, 3, 4, 5, 7)})
