@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +18,7 @@ KEEP_SHARE = 0.8  # fixed value: retention shrinks to this share of the limit
 HOT_KEY_TIMES = 1_000_000  # distinct access times one group may hold
 BROADCAST_NUMBERS = 1_000_000
 MAX_QUANTILES = 5_000
+BUCKET_TIMES = 250_000  # access times of hot keys in a bucket, about
 
 
 def expired(entries: DataFrame, now: Column, ttl_seconds: int = DAY_SECONDS) -> DataFrame:
@@ -97,7 +100,7 @@ def miss_times(
         .select(key, F.ceil(F.col("_n") / hot_key_times).cast("long").alias("_slots"))
         .persist()
     )
-    n_hot, most_slots = hot.agg(F.count("*"), F.max("_slots")).first()
+    n_hot, most_slots, all_slots = hot.agg(F.count("*"), F.max("_slots"), F.sum("_slots")).first()
     if n_hot == 0:
         return _walk_keys(times, ttl, key)
     # each hot key carries its slot bounds
@@ -106,7 +109,9 @@ def miss_times(
         hot = F.broadcast(hot)
     ordinary = _walk_keys(times.join(hot, key, "left_anti"), ttl, key)
     return ordinary.unionByName(
-        _hot_miss_times(times.join(hot, key), ttl, key, min(most_slots, MAX_QUANTILES), small)
+        _hot_miss_times(
+            times.join(hot, key), ttl, key, min(most_slots, MAX_QUANTILES), small, all_slots * hot_key_times
+        )
     )
 
 
@@ -124,7 +129,7 @@ def _walk_keys(times: DataFrame, ttl: int, key: str) -> DataFrame:
 
 
 def _hot_miss_times(
-    times: DataFrame, ttl: int, key: str, quantiles: int, small: bool
+    times: DataFrame, ttl: int, key: str, quantiles: int, small: bool, most_times: int
 ) -> DataFrame:
     period = F.floor(F.col("_t") / F.lit(ttl)).cast("long")
     placed = times.select(
@@ -164,70 +169,102 @@ def _hot_miss_times(
     # part number grows with time, so parts of one key are ordered by it
     slotted = slotted.withColumn("_part", F.col("_period") * F.col("_slots") + F.col("_slot"))
     key_type = times.schema[key].dataType.simpleString()
+    # a task takes a bucket of keys, or of their slots, at once: slots may be many and small
+    buckets = max(1, math.ceil(most_times / BUCKET_TIMES))
+    of = lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(buckets)).alias("_bucket")
+    slotted = slotted.select("*", of(key, "_slot"))
 
-    hops = slotted.groupBy(key, "_slot").applyInPandas(
+    hops = slotted.groupBy("_bucket").applyInPandas(
         lambda pdf: _slot_hops(pdf, ttl, key),
         f"{key} {key_type}, _slot long, _head_part long, _exit_part long",
     )
-    visited = hops.groupBy(key).applyInPandas(
+    visited = hops.select("*", of(key)).groupBy("_bucket").applyInPandas(
         lambda pdf: _chain_heads(pdf, key), f"{key} {key_type}, _slot long, _head_part long"
     )
     return (
-        slotted.groupBy(key, "_slot")
-        .cogroup(visited.groupBy(key, "_slot"))
+        slotted.groupBy("_bucket")
+        .cogroup(visited.select("*", of(key, "_slot")).groupBy("_bucket"))
         .applyInPandas(
             lambda rows, heads: _slot_walks(rows, heads, ttl, key), f"{key} {key_type}, _t long"
         )
     )
 
 
-def _slot_steps(pdf: pd.DataFrame, ttl: int):
-    """Times of one slot in order, their parts, and each time's next creation in the slot."""
-    pdf = pdf.sort_values("_t")
+def _after(group: np.ndarray, value: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """For each row, the first row of its group with a value above its bound, or -1. Rows are
+    ordered by group and value."""
+    n = len(value)
+    whose, is_bound = np.concatenate([group, group]), np.repeat([False, True], n)
+    order = np.lexsort((is_bound, np.concatenate([value, bound]), whose))
+    at = np.empty(n, np.int64)
+    ordered = is_bound[order]
+    at[order[ordered] - n] = np.cumsum(~ordered)[ordered]  # rows up to the bound
+    found = at < n
+    found[found] = group[at[found]] == group[found]
+    return np.where(found, at, -1)
+
+
+def _reached(start: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+    """All rows on the walks from `start`."""
+    steps = [np.asarray(start, np.int64)]
+    while len(steps[-1]):
+        to = nxt[steps[-1]]
+        steps.append(to[to >= 0])
+    return np.concatenate(steps)
+
+
+def _grouped(pdf: pd.DataFrame, by: list[str], value: str) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows ordered by group and value, and their group's number; null is a key like any other."""
+    group = pdf.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+    order = np.lexsort((pdf[value].to_numpy(), group))
+    return pdf.iloc[order], group[order]
+
+
+def _slot_steps(pdf: pd.DataFrame, ttl: int, key: str):
+    """Rows by slot and time, their slot's number, parts, the part after which each walk that stays
+    no longer leaves, and each time's next creation in its slot."""
+    pdf, group = _grouped(pdf, [key, "_slot"], "_t")
     t, part = pdf["_t"].to_numpy(), pdf["_part"].to_numpy()
-    due = part + int(pdf["_slots"].iloc[0])  # the part that holds "created + ttl"
-    nxt = np.searchsorted(t, t + ttl, side="right")
-    inside = nxt < len(t)
-    inside[inside] = part[nxt[inside]] == due[inside]
-    return t, part, due, np.where(inside, nxt, -1)
+    due = part + pdf["_slots"].to_numpy()  # the part that holds "created + ttl"
+    nxt = _after(group, t, t + ttl)
+    return pdf, group, part, due, np.where((nxt >= 0) & (part[nxt] == due), nxt, -1)
 
 
 def _slot_hops(pdf: pd.DataFrame, ttl: int, key: str) -> pd.DataFrame:
     """For the first time of every part: the part after which its walk leaves the slot."""
-    t, part, due, nxt = _slot_steps(pdf, ttl)
-    leave = due.copy()
-    for i in np.flatnonzero(nxt >= 0)[::-1]:
-        leave[i] = leave[nxt[i]]
-    heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    pdf, group, part, leave, nxt = _slot_steps(pdf, ttl, key)
+    # the end of every walk, by pointers that double their reach
+    end = np.where(nxt >= 0, nxt, np.arange(len(nxt)))
+    while not np.array_equal(further := end[end], end):
+        end = further
+    heads = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (group[1:] != group[:-1])])
+    rows = pdf.iloc[heads]
     return plain(
         pd.DataFrame(
             {
-                key: [pdf[key].iloc[0]] * len(heads),
-                "_slot": pdf["_slot"].iloc[0],
+                key: rows[key].to_numpy(),
+                "_slot": rows["_slot"].to_numpy(),
                 "_head_part": part[heads],
-                "_exit_part": leave[heads],
+                "_exit_part": leave[end[heads]],
             }
         )
     )
 
 
 def _chain_heads(pdf: pd.DataFrame, key: str) -> pd.DataFrame:
-    pdf = pdf.sort_values("_head_part")
-    heads, leave = pdf["_head_part"].to_numpy(), pdf["_exit_part"].to_numpy()
-    visited, at = [], 0
-    while at < len(heads):
-        visited.append(at)
-        at = int(np.searchsorted(heads, leave[at], side="right"))
-    return plain(pdf.iloc[visited][[key, "_slot", "_head_part"]])
+    pdf, group = _grouped(pdf, [key], "_head_part")
+    nxt = _after(group, pdf["_head_part"].to_numpy(), pdf["_exit_part"].to_numpy())
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    return plain(pdf.iloc[_reached(first, nxt)][[key, "_slot", "_head_part"]])
 
 
 def _slot_walks(rows: pd.DataFrame, heads: pd.DataFrame, ttl: int, key: str) -> pd.DataFrame:
     if rows.empty or heads.empty:
         return plain(pd.DataFrame({key: [], "_t": np.array([], dtype=np.int64)}))
-    t, part, _, nxt = _slot_steps(rows, ttl)
-    picked = []
-    for at in np.searchsorted(part, np.sort(heads["_head_part"].to_numpy())):
-        while at >= 0:
-            picked.append(t[at])
-            at = nxt[at]
-    return plain(pd.DataFrame({key: [rows[key].iloc[0]] * len(picked), "_t": np.array(picked)}))
+    # a part belongs to one slot of a key, and its head is its first time
+    started = pd.MultiIndex.from_frame(heads[[key, "_head_part"]])
+    rows, group, part, _, nxt = _slot_steps(rows, ttl, key)
+    first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (group[1:] != group[:-1])])
+    first = first[pd.MultiIndex.from_frame(rows.iloc[first][[key, "_part"]]).isin(started)]
+    picked = rows.iloc[_reached(first, nxt)]
+    return plain(pd.DataFrame({key: picked[key].to_numpy(), "_t": picked["_t"].to_numpy()}))

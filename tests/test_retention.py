@@ -121,3 +121,25 @@ def test_repeats_of_many_keys_share_a_call_and_its_state(spark, monkeypatch, tmp
             created[key] = s
             want.add((event_id, key))
     assert {(r.event_id, r.key) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_a_task_takes_many_slots_of_many_keys(spark):
+    """Python was called once a slot, which took most of the time where slots are small."""
+    rng = random.Random(8)
+    data = {f"k{n}": {rng.randrange(10**6) for _ in range(rng.randrange(1, 90))} for n in range(150)}
+    times = spark.createDataFrame([(k, t * 1_000_000) for k, ts in data.items() for t in ts], "key string, _t long")
+    calls = spark.sparkContext.accumulator(0)
+    hops = rt._slot_hops
+
+    def counted(pdf, ttl, key):
+        calls.add(1)
+        return hops(pdf, ttl, key)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(rt, "_slot_hops", counted)
+        found = rt.miss_times(times, 20_000, hot_key_times=10).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.key, []).append(r._t // 1_000_000)
+    assert {k: sorted(v) for k, v in got.items()} == {k: brute_misses(ts, 20_000) for k, ts in data.items()}
+    assert 0 < calls.value < 100  # some 700 slots
