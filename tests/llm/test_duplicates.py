@@ -240,3 +240,17 @@ def test_of_equal_buckets_one_is_joined(spark):
     buckets = spark.createDataFrame(rows, "key long, id long, n long")
     company = similar.split_buckets(buckets)[1].collect()
     assert sorted((r.key, r.id) for r in company) == sorted({(0, i) for i in range(6)} | {(99, i) for i in (1, 2, 3, 4, 5, 7)})
+
+
+def test_links_of_dense_groups_become_stars_before_they_are_shuffled(spark, monkeypatch):
+    from quaestor.llm import graph
+
+    rows = [(100 * g + i, 100 * g + j) for g in range(4) for i in range(40) for j in range(i)] + [(39, 130), (7, 7)]
+    links = spark.createDataFrame(rows, "a long, b long").repartition(3)
+    assert graph.local_stars(links).count() <= 3 * 4 * 40 < len(rows)
+    for together in (200_000, 50):
+        monkeypatch.setattr(graph, "TOGETHER", together)
+        got = {r.id: r.component for r in graph.components(graph.local_stars(links)).collect()}
+        assert got == {100 * g + i: 0 if g < 2 else 100 * g for g in range(4) for i in range(40)}
+    texts = spark.createDataFrame([("b", "a"), ("c", "b"), ("é", "z")], "a string, b string")
+    assert {(r.id, r.component) for r in graph.components(graph.local_stars(texts)).collect()} == {(x, "a") for x in "abc"} | {("é", "z"), ("z", "z")}
