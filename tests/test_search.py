@@ -633,3 +633,27 @@ def test_confidence_forms(spark):
     ratio = {r.word: r.confidence for r in sp.confidence(pairs, method="ratio").collect()}
     assert ratio == {"kitten": 0.62, "same": 1.0, "": 0.0}
     assert {r.word: r.confidence for r in sp.confidence(pairs).collect()}["kitten"] == pytest.approx(1 - 3 / 7)
+
+
+def test_probed_buckets_of_a_table_are_in_few_groups(spark):
+    """Dealt by a hash, a query's buckets were in nearly as many groups, each with its vector."""
+    planes = np.random.default_rng(0).normal(0, 1, (9, 10, 16))
+    group, groups = ve._bucket_groups(300_000, planes, 8)
+    assert groups == 9 * 8  # 300,000 rows by 3 bits: some 37,500 a group
+    rng = np.random.default_rng(1)
+    queries = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(0, 1, (200, 16)))], "query_id long, embedding array<double>")
+    probed = queries.select("query_id", F.explode(ve._probed_buckets(queries, planes, 14)("embedding")).alias("place"))
+    probed = probed.withColumn("group", group("place")).withColumn("table", F.col("place") % 9)
+    assert probed.where("group < 0 OR group >= 72").isEmpty()
+    assert probed.groupBy("group").agg(F.countDistinct("table").alias("n")).where("n > 1").isEmpty()
+    copies = probed.select("query_id", "group").distinct().count() / 200
+    assert 9 <= copies < 50  # a hash: some 60 of 72
+
+
+def test_top_cells_rounds_only_what_can_be_among_the_best():
+    rng = np.random.default_rng(2)
+    raw = rng.normal(0, 1, (30, 400))
+    raw[:, 200:] = raw[:, :200] + rng.choice([0, 3e-13, -3e-13, 1e-12], (30, 200))  # ties once rounded
+    for k in (1, 2, 7, 399, 400, 500):
+        for got, want in zip(top_cells(raw, k, 12), top_cells(np.round(raw, 12), k)):
+            assert np.array_equal(got, want)
