@@ -242,6 +242,37 @@ def test_of_equal_buckets_one_is_joined(spark):
     assert sorted((r.key, r.id) for r in company) == sorted({(0, i) for i in range(6)} | {(99, i) for i in (1, 2, 3, 4, 5, 7)})
 
 
+@pytest.fixture
+def written(spark, monkeypatch):
+    """Files of the tables that `similar` stores, by name, where no shuffle of the buckets is small."""
+    files = defaultdict(list)
+    stored = similar.stored
+
+    def count(df, name):
+        table = stored(df, name)
+        files[name].append(len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(similar, "stored", count)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield files
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_few_shared_keys_are_few_files(spark, written):
+    """20,000 keys of which 4 are shared: what is left of them is not a file for every task."""
+    sets = spark.createDataFrame([(i, list(range(100 * (i // 2), 100 * (i // 2) + 50))) for i in range(8)], "id long, payload array<long>")
+    buckets = spark.range(20_000).selectExpr("id + 100 AS key", "id + 1000 AS id", "50 AS n").repartition(8)
+    buckets = buckets.unionByName(spark.range(8).selectExpr("id DIV 2 AS key", "id", "50 AS n"))
+    found = similar.links(buckets, lambda ids: sets.join(ids, "id", "left_semi"), 80)
+    assert {(r.a, r.b) for r in found.collect()} in [{(2 * k, 2 * k + 1) for k in range(4)}, {(2 * k + 1, 2 * k) for k in range(4)}]
+    assert max(written["keys"] + written["pairs"] + written["ids"]) <= 4
+
+
 def test_links_of_dense_groups_become_stars_before_they_are_shuffled(spark, monkeypatch):
     from quaestor.llm import graph
 
