@@ -273,6 +273,20 @@ def test_few_shared_keys_are_few_files(spark, written):
     assert max(written["keys"] + written["pairs"] + written["ids"]) <= 4
 
 
+def test_large_buckets_are_joined_once_with_their_keys(spark, monkeypatch):
+    """Equal large buckets have left before: their rows meet the keys in `split_buckets` only."""
+    rows = [(key, i, 50) for key in range(6) for i in range(30)] + [(9, i, 50) for i in range(1, 31)]
+    sets = spark.createDataFrame([(i, [*range(50), 100 + i]) for i in range(31)], "id long, payload array<long>")
+    company = similar.split_buckets(spark.createDataFrame(rows, "key long, id long, n long"))[1]
+    plans = []
+    stored = similar.stored
+    monkeypatch.setattr(similar, "stored", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df, name))
+    none = spark.createDataFrame([], "a long, b long")
+    found = similar.large_links(company, sets, 80, None, none)
+    assert {r.component for r in graph.components(found).collect()} == {0}
+    assert "Join" not in plans[0]
+
+
 def test_links_of_dense_groups_become_stars_before_they_are_shuffled(spark, monkeypatch):
     from quaestor.llm import graph
 
