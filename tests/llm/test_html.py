@@ -198,3 +198,32 @@ def test_wrappers_headlines_and_comments():
         ("<p>1 < 2 <b>and</b> 3 <svg/>x<svg><text>y</text></svg>z<SCRIPT>v</Script >w", "1 < 2 and 3 xzw"),
     ]:
         assert html.extract_group([page]) == [want], page
+
+
+@pytest.mark.parametrize("most", [html.BROADCAST_BYTES, 0])
+def test_bodies_enter_the_order_of_their_host(spark, monkeypatch, most):
+    """Passages that articles share are cut like others, in every place; what is on too few contents,
+    copies, and text beside an article are as before. On other hosts menus
+    make the number."""
+    passage = " ".join(f"p{k}" for k in range(26))
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    line, rare = "all rights of this host reserved", "said by two of them only"
+    pages = []
+    for i in range(24):
+        inner = f"<p>{own(i)}</p><p>{line}</p>" + (f"<p>so{i} {passage} end{i}</p>" if i < 11 else "") + (f"<p>{rare}</p>" if i < 2 else "")
+        pages.append(f"<nav>menu</nav><article>{inner}</article><p>beside {i}</p>")
+    pages += [f"<article>{passage}</article>", f"<p>{passage}</p><p>unmarked</p>", pages[0]]
+    want = [own(i) + (f"\nso{i} end{i}" if i < 11 else "") + (f"\n{rare}" if i < 2 else "") for i in range(24)]
+    want += [passage, f"{passage}\nunmarked", want[0]]  # all, or nearly all of it, would go
+    prose = [own(i) + (f" {passage}" if i < 9 else "") for i in range(21)]
+    other = [f"<article><p>{p}</p></article>" + (f"<nav>{passage}</nav>" if i == 20 else "") for i, p in enumerate(prose)]
+    named = [f"<article><p>{own(i)} {passage if i < 4 else ''}</p></article><nav>{passage if i > 8 else ''}</nav>" for i in range(15)]
+    monkeypatch.setattr(html, "BROADCAST_BYTES", most)
+    assert html.extract_group(pages) == want
+    assert html.extract_group(other) == [own(i) for i in range(21)]  # the tenth is in a menu
+    assert html.extract_group(other[:20]) == prose[:20]
+    rows = [(i, "http://h/", p) for i, p in enumerate(pages)] + [(100 + i, "http://o/", p) for i, p in enumerate(other)]
+    rows += [(200 + i, "http://n/", p) for i, p in enumerate(named)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html.extract(table).collect()}
+    assert got == dict(enumerate(want)) | {100 + i: p for i, p in enumerate(html.extract_group(other))} | {200 + i: own(i) for i in range(15)}
